@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfacet.llm import chat, rules, secrets, shards
+from keyfacet.llm import chat, packing, rules, secrets, shards
 from keyfacet.llm.common import materialize, table
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer file that the contract of packing names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """All documents in as few sequences of at most 2048 tokens as the bounds allow."""
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer or tokenizer_path())
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document; an owner is a source, a repository a document."""
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
@@ -82,6 +95,7 @@ FROM marked GROUP BY conv_id
 """
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op3_secret_scans": op3_secret_scans,
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
