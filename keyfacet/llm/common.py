@@ -102,3 +102,64 @@ def n_buckets(n_rows: int, per_bucket: int, least: int = 1) -> int:
 
 def with_columns_like(df: DataFrame, template: DataFrame) -> DataFrame:
     return df.select(*[F.col(c) for c in template.columns])
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, most: int = 1024, least: int = 100_000) -> DataFrame:
+    """Inner join on ``key`` where ``left`` may have hot keys and ``right`` has each key once.
+
+    Keys with more than 1 in ``most`` of the left rows (there are fewer than ``most`` of them, whatever the
+    data) are joined by broadcasting their few rows of ``right``; all others by a shuffle.
+    ``left`` should be a written table: it is counted first.
+    """
+    total = left.count()
+    if total <= least:
+        return left.join(right, key)
+    hot = [r[0] for r in left.groupBy(key).count().filter(F.col("count") > max(least, total // most)).select(key).collect()]
+    if not hot:
+        return left.join(right, key)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return (
+        left.filter(~is_hot).join(right.filter(~is_hot), key)
+        .unionByName(left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), key))
+    )
+
+
+def components(edges: DataFrame, name: str = "components", max_rounds: int = 50) -> DataFrame:
+    """``node`` and ``component``, its smallest node, for undirected ``edges`` (a, b); by alternating stars.
+
+    Each round rewires every node to its least neighbour (large star, then small star) and writes the
+    edges; it ends when a round changes nothing. Rounds grow with the logarithm of the diameter.
+    """
+
+    def digest(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    def star(e: DataFrame, small: bool, label: str) -> DataFrame:
+        if small:  # a above b: link a and its lower neighbours to the least of them
+            e = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        else:
+            e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        e = materialize(e, name)
+        least = e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        joined = join_hot(e, least, "a")
+        if small:
+            out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
+                least.select("a", F.col("m").alias("b"))
+            )
+        else:
+            out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        return materialize(out.filter("a <> b").distinct(), name + label)
+
+    current = materialize(edges.filter("a <> b").select("a", "b").distinct(), name)
+    seen = digest(current)
+    for _ in range(max_rounds):
+        current = star(star(current, False, "-large"), True, "-small")
+        now = digest(current)
+        if now == seen:
+            break
+        seen = now
+    else:
+        raise RuntimeError("components did not settle")
+    return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+        current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    )

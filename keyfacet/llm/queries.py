@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfacet.llm import chat, packing, rules, secrets, shards
+from keyfacet.llm import chat, neardup, packing, rules, secrets, shards
 from keyfacet.llm.common import materialize, table
 
 
@@ -22,6 +22,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of at least 75 % of 2-word shingles."""
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document; an owner is a source, a repository a document."""
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
@@ -76,6 +82,28 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) = 1 THEN [ws[1]]
+    ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS s FROM w
+), sh AS (SELECT doc_id, unnest(s) AS g FROM sets
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), linked AS (
+  SELECT a, b FROM pairs JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+  WHERE 100 * inter >= 75 * (len(x.s) + len(y.s) - inter)
+), edges AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked
+), reach AS (
+  SELECT doc_id AS node, doc_id AS r FROM sets
+  UNION SELECT e.a, reach.r FROM reach JOIN edges e ON e.b = reach.node
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r) AS component_id, s.doc_id = min(r) AS kept
+FROM sets s JOIN reach ON reach.node = s.doc_id GROUP BY s.doc_id, s.s
+"""
+
 OP7_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -96,10 +124,11 @@ FROM marked GROUP BY conv_id
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_secret_scans": op3_secret_scans,
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
     "op7_chat_formatting": op7_chat_formatting,
 }
 
-ORACLES = {"op7_chat_formatting": OP7_SQL}
+ORACLES = {"op2_minhash_near_dedup": OP2_SQL, "op7_chat_formatting": OP7_SQL}
