@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfacet.llm import chat, neardup, packing, rules, secrets, shards
+from keyfacet.llm import chat, neardup, packing, rules, secrets, shards, substring
 from keyfacet.llm.common import materialize, table
 
 
@@ -82,6 +82,30 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the windows of 13 words that a document of a smaller id has."""
+    out = substring.dedup_table(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_words"), F.col("removed").alias("n_removed"), F.col("kept").alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), wins AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM w WHERE len(ws) >= 13
+), keyed AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM wins
+), firsts AS (SELECT k, min(doc_id) AS first FROM keyed GROUP BY k
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM keyed JOIN firsts USING (k) WHERE first < doc_id
+), words AS (
+  SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
 OP2_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -129,6 +153,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
     "op7_chat_formatting": op7_chat_formatting,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
-ORACLES = {"op2_minhash_near_dedup": OP2_SQL, "op7_chat_formatting": OP7_SQL}
+ORACLES = {"op9_substring_dedup": OP9_SQL, "op2_minhash_near_dedup": OP2_SQL, "op7_chat_formatting": OP7_SQL}
