@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfacet.llm import chat, neardup, packing, rules, secrets, shards, substring
+from keyfacet.llm import chat, decontam, neardup, packing, rules, secrets, shards, substring
 from keyfacet.llm.common import materialize, table
 
 
@@ -88,6 +88,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_words"), F.col("removed").alias("n_removed"), F.col("kept").alias("kept_sha256"))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a copy of a benchmark item, with the item, score and place."""
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP9_SQL = r"""
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
@@ -154,6 +159,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_chat_formatting": op7_chat_formatting,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLES = {"op9_substring_dedup": OP9_SQL, "op2_minhash_near_dedup": OP2_SQL, "op7_chat_formatting": OP7_SQL}
