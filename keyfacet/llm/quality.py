@@ -29,6 +29,7 @@ BITS = 18
 DIMS = 1 << BITS
 LAGS = 4
 ODD = np.uint64(0x9E3779B97F4A7C15)
+SALTS = [np.uint64(k * int(ODD) % (1 << 64)) for k in (6, 7)]
 RUNS = re.compile(rb"(.)\1+", re.S)
 _letters = bytes(range(256))
 SHAPE = bytes(
@@ -60,8 +61,8 @@ def features(text: str | None) -> np.ndarray:
     same = np.zeros(len(h), np.uint64)
     for lag in range(1, 1 + min(LAGS, len(h) - 1)):
         same[:-lag] |= (h[:-lag] == h[lag:]).astype(np.uint64) << np.uint64(lag)
-    parts.append(mix64(np.unique(same) + np.uint64(6) * ODD))
-    parts.append(mix64(np.unique(same[:-1] << np.uint64(8) | same[1:]) + np.uint64(7) * ODD))
+    parts.append(mix64(np.unique(same) + SALTS[0]))
+    parts.append(mix64(np.unique(same[:-1] << np.uint64(8) | same[1:]) + SALTS[1]))
     found = np.zeros(DIMS, bool)
     found[(np.concatenate(parts) >> np.uint64(64 - BITS)).astype(np.int64)] = True
     return np.flatnonzero(found)
