@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from keyfacet.llm.common import materialize, mix64, n_buckets, worker_cache
 
 TAIL = b".,|!?;:$%&*#-"
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
+SEEN = 1 << 24
 SLICE = 1000
 
 
@@ -34,7 +35,8 @@ class WordTokenizer:
 
     The tokenizer drops white space and never merges across it, so the ids of a text are the ids of
     its words one after another. Each distinct word is encoded once a worker while the cache lasts;
-    plain words are encoded many at a time and cut apart at the word-end tokens.
+    plain words are encoded many at a time and cut apart at the word-end tokens. A word stays in the
+    cache from its second use on, so the many words that never return take no memory.
     """
 
     def __init__(self, path: str):
@@ -49,8 +51,8 @@ class WordTokenizer:
             ends = np.zeros(tok.get_vocab_size(with_added_tokens=True) + 1, bool)
             for token, i in tok.get_vocab(with_added_tokens=True).items():
                 ends[i] = token.endswith("</w>")
-            state |= {"tok": tok, "ends": ends, "ids": {}}
-        self.tok, self.ends, self.ids = state["tok"], state["ends"], state["ids"]
+            state |= {"tok": tok, "ends": ends, "ids": {}, "seen": bytearray(SEEN)}
+        self.tok, self.ends, self.ids, self.seen = state["tok"], state["ends"], state["ids"], state["seen"]
 
     def _one(self, words: list[str]) -> list[bytes]:
         return [
@@ -71,8 +73,11 @@ class WordTokenizer:
                 out += [raw[a * 4 : b * 4] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist())]
         return out
 
-    def learn(self, new: set[bytes]) -> None:
-        """Add words to the cache: a word of letters and what it may end in, or any other word."""
+    def learn(self, new: set[bytes]) -> set[bytes]:
+        """Add words to the cache: a word of letters and what it may end in, or any other word.
+
+        Returns all that was added, the parts of words included.
+        """
         ids, made, cores, tails, odd = self.ids, [], set(), set(), []
         for raw in new:
             core = raw.rstrip(TAIL)
@@ -98,17 +103,24 @@ class WordTokenizer:
         for raw, low, tail in made:
             ids[raw] = ids[low] + ids[tail]
         ids.update(zip(odd, self._one([w.decode("utf-8", "surrogatepass") for w in odd])))
+        return new.union(cores, tails)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.ids) > CACHE_WORDS:
-            self.ids.clear()
+        ids, seen = self.ids, self.seen
+        if len(ids) > CACHE_WORDS:
+            ids.clear()
+            seen[:] = bytes(SEEN)
         split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-        new = set().union(*split).difference(self.ids)
-        if new:
-            self.learn(new)
-        get = self.ids.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        new = set().union(*split).difference(ids)
+        added = self.learn(new) if new else ()
+        out = [b"".join(map(ids.__getitem__, words)) for words in split]
+        for word in added:
+            at = hash(word) % SEEN
+            if not seen[at]:
+                seen[at] = 1
+                del ids[word]
+        return out
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
