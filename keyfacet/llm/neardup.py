@@ -3,13 +3,14 @@
 Documents with equal shingle sets form a class. A class is posted under pairs of coordinate and
 value of its signature. Two classes over the Jaccard threshold agree in at least ``matches`` of the
 ``coords`` coordinates (short of a chance under 1 in 100,000 at the threshold itself), so they share
-a pair among the ``coords - matches + 1`` rarest of either: only that prefix is posted, and frequent
-pairs, such as those of function words, are skipped.
+``common`` pairs among the ``coords - matches + common`` rarest of either: only that prefix is posted, and
+frequent pairs, such as those of function words, are skipped.
 
 Lists aren't expanded into all pairs. Each first links its members to its lowest one; links are
 confirmed on full sets and joined into components. Then only members outside the
-component of a list's lowest member are compared with the members of other components. So a list of
-copies costs one comparison a member, and no link between components is lost.
+component of a list's lowest member are counted against the members of other components; pairs that meet
+in ``common`` lists are compared. So a list of copies costs one comparison a member, and no link
+between components is lost.
 
 Defined results: words are runs of other than ASCII white space, A to Z lower-cased; null, empty and
 blank texts have no shingles and link with nothing; a text of one word has that word as its set;
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 
 from keyfacet.llm.common import components, join_hot, materialize, mix64, word_hashes
 
-COORDS, MATCHES = 48, 22
+COORDS, MATCHES, COMMON = 48, 22, 4
 RANKS = 1 << 16
-CHUNK = 256
+LEFTS, RIGHTS = 64, 512
 ODD = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 MULT = (_RNG.integers(1, 1 << 63, COORDS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -124,9 +125,9 @@ def _token_counts(classes: DataFrame) -> np.ndarray:
     return out
 
 
-def _postings(classes: DataFrame, matches: int) -> DataFrame:
-    """token and node: each class under the rarest ``COORDS - matches + 1`` of its tokens."""
-    prefix, uses = COORDS - matches + 1, _token_counts(classes)
+def _postings(classes: DataFrame, prefix: int) -> DataFrame:
+    """token, node and n: each class under the rarest ``prefix`` of its tokens."""
+    uses = _token_counts(classes)
     rank = np.empty(RANKS, np.int64)
     rank[np.argsort(uses, kind="stable")] = np.arange(RANKS)
     shared = classes.sparkSession.sparkContext.broadcast(rank.astype(np.int32))
@@ -135,20 +136,19 @@ def _postings(classes: DataFrame, matches: int) -> DataFrame:
         order = shared.value
         for b in batches:
             if b.num_rows:
-                tokens = _tokens(b.column(1).to_pylist())
+                tokens = _tokens(b.column(2).to_pylist())
                 # Rank first, then the token itself, so that equal ranks have one order everywhere.
                 weight = (order[(tokens % RANKS).astype(np.int64)].astype(np.uint64) << np.uint64(40)) | (tokens >> np.uint64(24))
                 first = np.argsort(weight, axis=1, kind="stable")[:, :prefix]
                 picked = np.take_along_axis(tokens, first, 1).ravel().view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(picked), pa.array(np.repeat(b.column(0).to_numpy(), prefix))], names=["token", "node"]
-                )
+                repeated = [pa.array(np.repeat(b.column(i).to_numpy(), prefix)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(picked), *repeated], names=["token", "node", "n"])
 
-    return classes.select("node", "sig").mapInArrow(run, "token long, node long")
+    return classes.select("node", "n", "sig").mapInArrow(run, "token long, node long, n long")
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, matches: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in ``matches`` places and whose full sets are linked."""
+def _near(pairs: DataFrame, classes: DataFrame, matches: int, percent: int) -> DataFrame:
+    """The pairs (f, a, b) whose sizes allow a link and whose signatures agree in ``matches`` places."""
     side = lambda x: classes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"))
     both = join_hot(pairs, side("a"), "a").join(side("b"), "b")
     both = both.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
@@ -158,39 +158,60 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
             if b.num_rows:
                 x = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, COORDS) for c in ("sig_a", "sig_b")]
                 hit = pa.array((x[0] == x[1]).sum(axis=1) >= matches)
-                yield pa.RecordBatch.from_arrays([b.column("a").filter(hit), b.column("b").filter(hit)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([b.column(c).filter(hit) for c in "fab"], names=["f", "a", "b"])
 
-    near = materialize(both.select("a", "b", "sig_a", "sig_b").mapInArrow(agree, "a long, b long"), "near-pairs")
-    needed = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    keys = needed.join(classes.select("node", "key", "bytes"), "node")
-    texts = materialize(
-        keyed_text(docs, id_col, text_col).drop("id").join(keys, ["key", "bytes"]).select("node", "text").dropDuplicates(["node"]), "near-texts"
+    return materialize(both.select("f", "a", "b", "sig_a", "sig_b").mapInArrow(agree, "f long, a long, b long"), "near-pairs")
+
+
+def _nodes(near: DataFrame) -> DataFrame:
+    return near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+
+
+def _texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One text of each class in ``nodes``."""
+    keys = nodes.join(classes.select("node", "key", "bytes"), "node")
+    found = keyed_text(docs, id_col, text_col).drop("id").join(keys, ["key", "bytes"])
+    return materialize(found.select("node", "text").dropDuplicates(["node"]), "near-texts")
+
+
+def _confirm(near: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are linked on their full sets.
+
+    Pairs are gathered by family ``f``. Up to about ``LEFTS`` left texts of a family share a block, each right
+    text goes to a block once however many of them it is compared with, and blocks are cut into chunks of about
+    ``RIGHTS`` right texts. So texts travel by the block and no task holds a whole family.
+    """
+    blocks = near.select("f", "a").distinct().groupBy("f").agg(F.ceil(F.count("*") / LEFTS).cast("int").alias("blocks"))
+    keyed = join_hot(near, blocks, "f").select(
+        F.xxhash64("f", F.pmod(F.xxhash64("a"), F.col("blocks"))).alias("k"), "a", "b"
     )
-    # A left text goes once to each chunk of its partners, so that a class with many is split.
-    parts = near.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    rights = materialize(keyed.groupBy("k", "b").agg(F.collect_set("a").alias("lefts")), "near-rights")
+    chunks = rights.groupBy("k").agg(F.ceil(F.count("*") / RIGHTS).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int")
-    right = join_hot(near, parts, "a").select("a", chunk.alias("chunk"), "b").join(texts.withColumnRenamed("node", "b"), "b")
-    left = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).join(
-        texts.withColumnRenamed("node", "a"), "a"
-    )
-    rows = left.select("a", "chunk", F.lit(None).cast("long").alias("b"), "text").unionByName(right.select("a", "chunk", "b", "text"))
+    right = join_hot(rights, chunks, "k").select("k", chunk.alias("chunk"), F.col("b").alias("node"), "lefts")
+    left = rights.select("k", F.explode("lefts").alias("node")).distinct().join(chunks, "k")
+    left = left.select("k", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "node", F.lit(None).cast("array<bigint>").alias("lefts"))
+    rows = left.unionByName(right).join(texts, "node")
 
     def compare(batches):
-        at, own = None, None
+        at, own = None, {}
         for batch in batches:
             a_out, b_out = [], []
-            columns = [batch.column(c).to_pylist() for c in ("a", "chunk", "b", "text")]
-            for a, c, b, text in zip(*columns):
+            for k, c, node, lefts, text in zip(*(batch.column(x).to_pylist() for x in ("k", "chunk", "node", "lefts", "text"))):
+                if at != (k, c):
+                    at, own = (k, c), {}
                 s = shingle_set(text)
-                if b is None:
-                    at, own = (a, c), s
-                elif at == (a, c) and linked(own, s, percent):
-                    a_out.append(a)
-                    b_out.append(b)
+                if lefts is None:
+                    own[node] = s
+                    continue
+                for a in lefts:
+                    if linked(own[a], s, percent):
+                        a_out.append(a)
+                        b_out.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
-    ordered = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
-    return materialize(ordered.mapInArrow(compare, "a long, b long"), "near-links")
+    ordered = rows.repartition("k", "chunk").sortWithinPartitions("k", "chunk", F.col("lefts").isNotNull())
+    return materialize(ordered.select("k", "chunk", "node", "lefts", "text").mapInArrow(compare, "a long, b long"), "near-links")
 
 
 def near_duplicates(
@@ -207,33 +228,44 @@ def near_duplicates(
     classes = materialize(
         heads.join(full.select(F.col("row").alias("node"), "key", "bytes", "n", "sig"), "node"), "classes"
     )
-    posts = materialize(_postings(classes, matches), "postings")
+    posts = materialize(_postings(classes, COORDS - matches + COMMON), "postings")
     lists = posts.groupBy("token").agg(F.min("node").alias("head"), F.count("*").alias("size")).filter("size > 1")
-    linked_posts = materialize(join_hot(posts, lists, "token"), "lists")
-    stars = materialize(
-        linked_posts.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "stars"
-    )
-    links = _confirm(stars, classes, docs, id_col, text_col, matches, percent)
+    listed = materialize(join_hot(posts, lists.select("token", "head"), "token"), "lists")
+    stars = listed.filter("node <> head").select(F.col("head").alias("f"), F.col("head").alias("a"), F.col("node").alias("b"))
+    stars = materialize(stars.distinct(), "stars")
+    near = _near(stars, classes, matches, percent)
+    texts = _texts(_nodes(near), classes, docs, id_col, text_col)
+    links = _confirm(near, texts, percent)
     comps = materialize(components(links), "labels")
 
     # Members of lists that still span components.
-    labelled = linked_posts.filter("size > 2").join(comps.withColumnRenamed("component", "c"), "node", "left")
+    labelled = listed.join(comps.withColumnRenamed("component", "c"), "node", "left")
     labelled = materialize(labelled.withColumn("c", F.coalesce("c", "node")), "labelled")
-    open_lists = labelled.groupBy("token").agg(F.min_by("c", "node").alias("main"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
-    members = materialize(join_hot(labelled, open_lists.select("token", "main"), "token"), "members")
-    outside = members.filter("c <> main").select("token", F.col("node").alias("a"), F.col("c").alias("ca"), "main")
-    inside = members.select("token", F.col("node").alias("b"), F.col("c").alias("cb"))
-    # A pair of outside members is taken once, from its lower one; the head's pairs are done.
+    mains = labelled.groupBy("token").agg(
+        F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.when(F.col("node") == F.col("head"), F.col("c"))).alias("main")
+    ).filter("lo <> hi")
+    members = materialize(join_hot(labelled.drop("head"), mains.select("token", "main"), "token"), "members")
+    outside = members.filter("c <> main").select("token", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), "main")
+    inside = members.select("token", F.col("node").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"))
+    # A list gives a pair once: an outside member with one of the main component, or with a higher outside one.
+    collided = outside.join(inside, "token").filter(
+        (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y")))
+        & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    )
     cross = (
-        outside.join(inside, "token")
-        .filter((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
+        collided.groupBy(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"))
+        .agg(F.count("*").alias("met"), F.min("main").alias("f"), F.min("x").alias("a"))
+        .filter(F.col("met") >= COMMON)
+        .select("f", "a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
     )
-    rest = materialize(cross.join(stars, ["a", "b"], "left_anti"), "cross")
-    more = _confirm(rest, classes, docs, id_col, text_col, matches, percent)
-    if not more.isEmpty():
-        comps = materialize(components(links.unionByName(more)), "labels2")
+    done = stars.select("a", "b")
+    cross = cross.join(done, ["a", "b"], "left_anti").join(done.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    more = _near(materialize(cross.select("f", "a", "b"), "cross"), classes, matches, percent)
+    nodes = _nodes(more)
+    texts = texts.unionByName(_texts(nodes.join(texts.select("node"), "node", "left_anti"), classes, docs, id_col, text_col))
+    found = _confirm(more, texts, percent)
+    if not found.isEmpty():
+        comps = materialize(components(links.unionByName(found)), "labels2")
 
     head_of = classes.select("node", "h1", "h2", "least_id").join(comps, "node", "left")
     head_of = head_of.withColumn("component", F.coalesce("component", "node"))
