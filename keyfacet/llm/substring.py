@@ -97,43 +97,64 @@ def _merge_rows(df: DataFrame, n: int, merge, schema: str, *names: str) -> DataF
 
 
 def make_run(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
-    """The run of a batch: a row a bucket with sorted fingerprints and their documents' ids."""
+    """The run of a batch: sorted pieces, each with fingerprints of one bucket and their documents' ids.
+
+    A piece comes from one Arrow batch of documents, so its size is bounded and nothing is shuffled.
+    """
 
     def entries(batches):
         for b in batches:
             fps, owner = [], []
-            for i, (doc, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = words_of(text)
                 if len(words) >= SIZE:
                     own = np.unique(minimizers(word_hashes(words)))
                     fps.append(own)
                     owner.append(np.full(len(own), doc, np.int64))
             if fps:
-                fps, owner = np.concatenate(fps), np.concatenate(owner)
-                order = np.argsort(fps, kind="stable")
-                fps, owner = fps[order], owner[order]
-                cut = _by_bucket(fps, buckets)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _ in cut], pa.int32()), pa.array([fps[s].tobytes() for _, s in cut], pa.binary()), pa.array([owner[s].tobytes() for _, s in cut], pa.binary())],
-                    names=["bucket", "fps", "docs"],
-                )
+                yield from _pieces(np.concatenate(fps), np.concatenate(owner), buckets)
 
-    rows = docs.filter(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(entries, RUN)
-    return merge_runs(rows, buckets)
+    return docs.filter(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(entries, RUN)
+
+
+def _pieces(fps: np.ndarray, docs: np.ndarray, buckets: int, most: int = 1 << 18):
+    """Record batches of sorted pieces of at most ``most`` entries."""
+    order = np.argsort(fps, kind="stable")
+    fps, docs = fps[order], docs[order]
+    for bucket, part in _by_bucket(fps, buckets):
+        for i in range(part.start, part.stop, most):
+            at = slice(i, min(i + most, part.stop))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([bucket], pa.int32()), pa.array([fps[at].tobytes()], pa.binary()), pa.array([docs[at].tobytes()], pa.binary())], names=["bucket", "fps", "docs"]
+            )
 
 
 def merge_runs(runs: DataFrame, buckets: int) -> DataFrame:
-    """Compact rows of several runs into one sorted row a bucket; equal entries become one."""
+    """Compact the pieces of several runs into longer sorted ones, each entry once."""
 
-    def merge(bucket, columns):
-        fps, docs = np.frombuffer(columns[0], np.uint64), np.frombuffer(columns[1], np.int64)
-        order = np.argsort(fps, kind="stable")
-        fps, docs = fps[order], docs[order]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([bucket], pa.int32()), pa.array([fps.tobytes()], pa.binary()), pa.array([docs.tobytes()], pa.binary())], names=["bucket", "fps", "docs"]
-        )
+    def run(batches):
+        at, fps, docs = None, [], []
+        size = 0
+        for b in batches:
+            for bucket, f, d in zip(*(b.column(c).to_pylist() for c in ("bucket", "fps", "docs"))):
+                if fps and (bucket != at or size > 1 << 20):
+                    yield from _distinct(np.concatenate(fps), np.concatenate(docs), buckets)
+                    fps, docs, size = [], [], 0
+                at = bucket
+                fps.append(np.frombuffer(f, np.uint64))
+                docs.append(np.frombuffer(d, np.int64))
+                size += len(fps[-1])
+        if fps:
+            yield from _distinct(np.concatenate(fps), np.concatenate(docs), buckets)
 
-    return _merge_rows(runs, buckets, merge, RUN, "fps", "docs")
+    return runs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, RUN)
+
+
+def _distinct(fps: np.ndarray, docs: np.ndarray, buckets: int):
+    order = np.lexsort((docs, fps))
+    fps, docs = fps[order], docs[order]
+    new = np.concatenate([[True], (fps[1:] != fps[:-1]) | (docs[1:] != docs[:-1])])
+    yield from _pieces(fps[new], docs[new], buckets, 1 << 20)
 
 
 def _by_doc(docs: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
@@ -153,29 +174,47 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def shared_fingerprints(runs: DataFrame, buckets: int, one_run: bool) -> DataFrame:
-    """Merge-join of runs: id and the fingerprints that another document has too."""
+def shared_fingerprints(runs: DataFrame, buckets: int) -> DataFrame:
+    """Merge-join of runs: id and the fingerprints that another document has too.
 
-    def merge(bucket, columns):
-        fps, docs = np.frombuffer(columns[0], np.uint64), np.frombuffer(columns[1], np.int64)
-        if not one_run:
-            order = np.argsort(fps, kind="stable")
-            fps, docs = fps[order], docs[order]
-        if len(fps):
-            start, group = _groups(fps)
-            many = np.minimum.reduceat(docs, start) != np.maximum.reduceat(docs, start)
-            hit = many[group]
-            yield _by_doc(docs[hit], fps[hit])
+    A piece settles the fingerprints that several of its own documents have, and sends each fingerprint
+    once, with one document and whether there are more: so one that a third of all documents hold
+    costs an entry a piece. ``runs`` should be written: it is read twice.
+    """
 
-    if one_run:  # each bucket is one row already: nothing to bring together
+    def local(batches):
+        for b in batches:
+            for f, d in zip(b.column("fps").to_pylist(), b.column("docs").to_pylist()):
+                fps, docs = np.frombuffer(f, np.uint64), np.frombuffer(d, np.int64)
+                start, group = _groups(fps)
+                hit = (np.minimum.reduceat(docs, start) != np.maximum.reduceat(docs, start))[group]
+                if hit.any():
+                    yield _by_doc(docs[hit], fps[hit])
+
+    def heads(batches):
+        for b in batches:
+            for bucket, f, d in zip(*(b.column(c).to_pylist() for c in ("bucket", "fps", "docs"))):
+                fps, docs = np.frombuffer(f, np.uint64), np.frombuffer(d, np.int64)
+                start, _ = _groups(fps)
+                low, high = np.minimum.reduceat(docs, start), np.maximum.reduceat(docs, start)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([bucket], pa.int32()), pa.array([fps[start].tobytes()], pa.binary()), pa.array([low.tobytes()], pa.binary()), pa.array([(low != high).tobytes()], pa.binary())],
+                    names=["bucket", "fps", "docs", "many"],
+                )
 
-        def run(batches):
-            for b in batches:
-                for row in zip(b.column("fps").to_pylist(), b.column("docs").to_pylist()):
-                    yield from merge(0, row)
+    def merge(bucket, columns):
+        fps, docs, many = np.frombuffer(columns[0], np.uint64), np.frombuffer(columns[1], np.int64), np.frombuffer(columns[2], bool)
+        order = np.argsort(fps, kind="stable")
+        fps, docs, many = fps[order], docs[order], many[order]
+        start, group = _groups(fps)
+        shared = np.logical_or.reduceat(many, start) | (np.minimum.reduceat(docs, start) != np.maximum.reduceat(docs, start))
+        hit = shared[group] & ~many
+        if hit.any():
+            yield _by_doc(docs[hit], fps[hit])
 
-        return runs.mapInArrow(run, "id long, blob binary")
-    return _merge_rows(runs, buckets, merge, "id long, blob binary", "fps", "docs")
+    hint = "id long, blob binary"
+    sent = runs.mapInArrow(heads, "bucket int, fps binary, docs binary, many binary")
+    return runs.mapInArrow(local, hint).unionByName(_merge_rows(sent, buckets, merge, hint, "fps", "docs", "many"))
 
 
 def _first_owner(h1: np.ndarray, h2: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -212,9 +251,11 @@ class _Rows:
         for c, v in zip(self.columns, (kind, bucket, h1, h2, docs, id, text, done, n, removed, kept)):
             c.append(v)
 
-    def batch(self) -> pa.RecordBatch:
+    def batches(self):
+        """Record batches of few rows, as some hold whole texts and some long blobs."""
         t = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(self.columns, t)], names=[x.split()[0] for x in STAGE.split(", ")])
+        for i in range(0, len(self.columns[0]), 500):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 500], k) for c, k in zip(self.columns, t)], names=[x.split()[0] for x in STAGE.split(", ")])
 
 
 def _with_hints(texts: DataFrame, hints: DataFrame) -> DataFrame:
@@ -234,10 +275,8 @@ def _with_hints(texts: DataFrame, hints: DataFrame) -> DataFrame:
     return rows.repartition("id", "salt").sortWithinPartitions("id", "salt", "side")
 
 
-def _compare(rows: DataFrame, buckets: int, wanted: DataFrame | None, want_text: bool) -> DataFrame:
+def _compare(rows: DataFrame, buckets: int, want_text: bool) -> DataFrame:
     """Settle documents without shared windows; others give run rows (kind 0) and themselves (kind 1)."""
-    bits = np.uint64(buckets.bit_length() - 1)
-    assert bits < 64
 
     def run(batches):
         at, hint, copies = None, [], set()
@@ -284,7 +323,7 @@ def _compare(rows: DataFrame, buckets: int, wanted: DataFrame | None, want_text:
                 h1, h2, owner = h1[fresh], h2[fresh], owner[fresh]
                 for bucket, s in _by_bucket(h1, buckets):
                     out.add(0, bucket=bucket, h1=h1[s].tobytes(), h2=h2[s].tobytes(), docs=owner[s].tobytes())
-            yield out.batch()
+            yield from out.batches()
 
     return rows.mapInArrow(run, STAGE)
 
@@ -316,13 +355,12 @@ def _finish(rows: DataFrame, want_text: bool) -> DataFrame:
     return rows.mapInArrow(run, "id long, n long, removed long, kept string")
 
 
-def _dedup(docs: DataFrame, runs: DataFrame, one_run: bool, buckets: int, id_col: str, text_col: str, history: DataFrame | None, want_text: bool) -> DataFrame:
+def _dedup(docs: DataFrame, runs: DataFrame, buckets: int, id_col: str, text_col: str, history: DataFrame | None, want_text: bool) -> DataFrame:
     """id, n, removed and kept (digest, or the words themselves) of each row of ``docs``.
 
     ``history``: earlier documents; those that share fingerprints take part as owners only.
     """
-    hints = shared_fingerprints(runs, buckets, one_run).filter(F.length("blob") > 0)
-    hints = materialize(hints.withColumn("th", F.lit(None).cast("long")), "hints")
+    hints = materialize(shared_fingerprints(runs, buckets).withColumn("th", F.lit(None).cast("long")), "hints")
     shape = lambda d: d.filter(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"),
         F.hash(text_col).alias("th2"), F.octet_length(text_col).alias("tl"),
@@ -339,7 +377,7 @@ def _dedup(docs: DataFrame, runs: DataFrame, one_run: bool, buckets: int, id_col
     copies = per_doc.join(first, ["th", "th2", "tl"]).filter("id > first").select("id", "th")
     notes = hints.unionByName(copies.select("id", F.lit(None).cast("binary").alias("blob"), "th"))
     texts = known.select("id", "text", "th", F.lit(None).cast("binary").alias("done"))
-    staged = materialize(_compare(_with_hints(texts, notes), buckets, None, want_text), "windows")
+    staged = materialize(_compare(_with_hints(texts, notes), buckets, want_text), "windows")
 
     def merge(bucket, columns):
         h1, h2, owner = np.frombuffer(columns[0], np.uint64), np.frombuffer(columns[1], np.uint32), np.frombuffer(columns[2], np.int64)
@@ -367,7 +405,7 @@ def dedup_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Dedup of one whole table: a single batch without history."""
     buckets = bucket_count(docs, text_col)
     run = materialize(make_run(docs, id_col, text_col, buckets), "run")
-    return _dedup(docs, run, True, buckets, id_col, text_col, None, want_text)
+    return _dedup(docs, run, buckets, id_col, text_col, None, want_text)
 
 
 class FingerprintIndex:
@@ -400,7 +438,7 @@ class FingerprintIndex:
         new = materialize(make_run(batch, id_col, text_col, self.buckets), "run")
         old = self._all()
         runs = new if old is None else new.unionByName(old)
-        out = materialize(_dedup(batch, runs, old is None, self.buckets, id_col, text_col, history, want_text), "batch")
+        out = materialize(_dedup(batch, runs, self.buckets, id_col, text_col, history, want_text), "batch")
         have = self.runs()
         new.write.parquet(self._at(0, max((n for _, n in have), default=-1) + 1))
         self.compact()
