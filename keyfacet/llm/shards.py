@@ -54,8 +54,8 @@ class SlotMap:
     def rebalance(self, bytes_of: list[int], shards: int, slack: float = 0.02) -> SlotMap:
         """The next version for new sums or another number of shards, moving few slots.
 
-        Slots of removed shards move; then overfull shards give their largest slots that fit to the
-        lightest shard, until all are within ``slack`` of the mean or no move helps.
+        Slots of removed shards move; then the fullest shard gives slots to the lightest one
+        until all are within ``slack`` of the mean or no move helps.
         """
         where, load = list(self.shard_of), [0] * shards
         members: list[list[int]] = [[] for _ in range(shards)]
@@ -75,11 +75,13 @@ class SlotMap:
             src, dst = max(range(shards), key=lambda s: load[s]), min(range(shards), key=lambda s: load[s])
             if load[src] <= mean * (1 + slack) and load[dst] >= mean * (1 - slack):
                 break
-            gap = load[src] - load[dst]
-            fit = [s for s in members[src] if 0 < bytes_of[s] < gap]
+            # The largest slot that takes neither past the mean, else the smallest that still helps.
+            room = min(load[src] - mean, mean - load[dst])
+            fit = [s for s in members[src] if 0 < bytes_of[s] < load[src] - load[dst]]
             if not fit:
                 break
-            slot = max(fit, key=lambda s: (min(bytes_of[s], gap - bytes_of[s]), -s))
+            inside = [s for s in fit if bytes_of[s] <= room]
+            slot = max(inside, key=lambda s: (bytes_of[s], -s)) if inside else min(fit, key=lambda s: (bytes_of[s], s))
             members[src].remove(slot)
             members[dst].append(slot)
             where[slot], load[src], load[dst] = dst, load[src] - bytes_of[slot], load[dst] + bytes_of[slot]

@@ -1,0 +1,62 @@
+from llm_fixtures import prose
+from pyspark.sql import functions as F
+
+from keyfacet.llm import decontam
+
+ITEM = prose(900, 40)
+
+
+def test_copies_edits_and_clean_documents(spark):
+    words = ITEM.split()
+    edited = " ".join(w if i % 6 else "edited" for i, w in enumerate(words))
+    shorter = " ".join(w for i, w in enumerate(words) if i % 7)
+    longer = " ".join(f"{w} extra" if i % 5 == 0 else w for i, w in enumerate(words))
+    rows = [
+        (1, prose(1, 50) + " " + ITEM), (2, ITEM.upper() + "!"), (3, prose(2, 30) + " " + edited + " " + prose(3, 9)), (4, shorter), (5, longer),
+        (6, prose(4, 500)), (7, None), (8, ""), (9, " ".join(words[:8])), (1, prose(1, 50) + " " + ITEM), (None, ITEM), (10, (prose(5, 20) + " ") * 300 + ITEM),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit("x")).withColumn("score", F.lit(1))
+    items = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, None), (3, ""), (4, "too short"), (5, prose(901, 30))], "item_id long, text string")
+    found = decontam.find_leaks(docs, items)
+    assert sorted({r["doc_id"] for r in found.collect()}, key=str) == sorted([1, 2, 3, 4, 5, 10, None], key=str)
+    assert {r["item_id"] for r in found.collect()} == {1}
+    exact = found.filter("doc_id = 2").first()
+    assert exact["score"] == 1.0 and (exact["word_from"], exact["word_to"]) == (0, 40)
+    left = decontam.drop_leaks(docs, items)
+    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [6, 7, 8, 9]
+
+
+def test_item_in_most_documents_keeps_its_seeds(spark):
+    docs = spark.createDataFrame([(i, prose(i, 20) + " " + (ITEM if i % 3 else prose(7777 + i, 40))) for i in range(60)], "doc_id long, text string")
+    found = decontam.find_leaks(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string"))
+    assert sorted(r["doc_id"] for r in found.collect()) == [i for i in range(60) if i % 3]
+
+
+def test_blocks_give_the_same(spark):
+    docs = spark.createDataFrame([(i, prose(i, 20) + " " + prose(500 + i, 25)) for i in range(20)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, prose(500 + i, 25)) for i in range(20)], "item_id long, text string")
+    rows = lambda **how: sorted(tuple(r) for r in decontam.find_leaks(docs, items, **how).collect())
+    assert rows() == rows(block_items=6)
+    assert [(r[0], r[1]) for r in rows()] == [(i, i) for i in range(20)]
+
+
+def test_empty(spark, empty_docs):
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    assert decontam.find_leaks(empty_docs, items).count() == 0
+    docs = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
+    assert decontam.find_leaks(docs, items.limit(0)).count() == 0
+
+
+def test_alignment_against_full_table():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        a, b = rng.integers(0, 5, int(rng.integers(1, 12))), rng.integers(-1, 5, int(rng.integers(1, 14)))
+        h = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                step = 2 if a[i] == b[j] else -1
+                h[i + 1, j + 1] = max(0, h[i, j] + step, h[i, j + 1] - 1, h[i + 1, j] - 1)
+        score, begin, end = decontam.align(a, b)
+        assert score == h.max() and 0 <= begin <= end <= len(b)

@@ -1,0 +1,80 @@
+import numpy as np
+from pyspark.sql import functions as F
+
+from keyfacet.llm import neardup
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    if len(words) == 1:
+        return frozenset([tuple(words)])
+    return frozenset(zip(words, words[1:]))
+
+
+def brute(rows):
+    """Component (smallest id, nulls last) of each row by all pairs of distinct sets."""
+    sets = [shingles(t) for _, t, *_ in rows]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                parent[root(i)] = root(j)
+    out = []
+    for i, (doc, *_) in enumerate(rows):
+        ids = [rows[j][0] for j in range(len(rows)) if sets[i] and root(j) == root(i) and rows[j][0] is not None]
+        out.append((doc, len(sets[i]), min(ids, default=None) if sets[i] else doc))
+    return out
+
+
+def test_edges_against_all_pairs(spark, edge_docs):
+    rows = [tuple(r) for r in edge_docs.collect()]
+    found = neardup.near_duplicates(edge_docs.withColumn("key", F.lit(1)).withColumn("row", F.lit("clash")).withColumn("component_id", F.lit(0)))
+    got = sorted((tuple(r) for r in found.select("doc_id", "n_shingles", "component_id").collect()), key=str)
+    assert got == sorted(brute(rows), key=str)
+    kept = {r[0] for r in found.filter("kept").select("doc_id").collect()}
+    assert 1 in kept and 2 not in kept and 3 not in kept and 5 in kept
+
+
+def test_chains_and_families(spark):
+    """Near copies of near copies, and a family whose members are near misses of each other."""
+    rng = np.random.default_rng(3)
+    rows, words = [], [f"w{i}" for i in range(200)]
+    for i in range(30):  # each differs from the one before in two words
+        for k in rng.integers(0, 200, 2):
+            words[k] = f"n{i}_{k}"
+        rows.append((i, " ".join(words)))
+    for i in range(40):
+        own = [f"f{k}" for k in range(150)]
+        for k in rng.integers(0, 150, int(rng.integers(1, 30))):
+            own[k] = f"m{i}_{k}"
+        rows.append((100 + i, " ".join(own)))
+    rng.shuffle(rows)
+    rows = [(int(a), b) for a, b in rows]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(tuple(r) for r in found.select("doc_id", "n_shingles", "component_id").collect())
+    assert got == sorted(brute(rows))
+
+
+def test_keep_one_row_of_each_component(spark, edge_docs):
+    kept = neardup.keep_one(edge_docs)
+    assert kept.columns == edge_docs.columns
+    ids = sorted((r["doc_id"] for r in kept.collect()), key=lambda x: (x is None, x))
+    assert ids == [1, 4, 5, 6, 7, 8, 10, 11, 12, 13, 15, 16, 17]
+
+
+def test_empty(spark, empty_docs):
+    assert neardup.near_duplicates(empty_docs).count() == 0
+    assert neardup.keep_one(empty_docs).count() == 0
+
+
+def test_link_threshold():
+    a = np.arange(7, dtype=np.uint64)
+    assert neardup.linked(a, np.concatenate([a[:6], [np.uint64(99)]]), 75)  # 6 of 8
+    assert not neardup.linked(a[:4], a, 75)
+    assert not neardup.linked(np.empty(0, np.uint64), np.empty(0, np.uint64), 75)
