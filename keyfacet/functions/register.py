@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,8 +12,6 @@ from pyspark.sql import types as T
 
 def register(spark: SparkSession) -> None:
     """Register ``kf_stem``, ``kf_sentences`` (row functions), ``kf_mean_vector`` (aggregate), ``kf_chunks`` and ``kf_tokens`` (table functions)."""
-    import pandas as pd
-
     from keyfacet.functions.stem import stem
 
     @F.pandas_udf(T.StringType())
@@ -20,7 +19,7 @@ def register(spark: SparkSession) -> None:
         return pd.Series([None if w is None else stem(w.lower(), g) for w, g in zip(word, lang)], dtype=object)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def kf_mean_vector(vector: pd.Series) -> list:
+    def kf_mean_vector(vector: pd.Series) -> float:
         import numpy as np
 
         from keyfacet.plans.models import average_unit_vector

@@ -92,7 +92,10 @@ def stem_set(nested: Column) -> Column:
 
 
 def contains_all(nested: Column, required: Column) -> Column:
-    """Some sentence holds every required stem; true if none is required."""
+    """Some sentence holds every required stem; true if none is required.
+
+    Stems made by a stemmer have to be columns already: Spark takes no Python function inside a lambda.
+    """
     return (F.size(required) == 0) | F.exists(nested, lambda s: F.size(F.array_except(required, s)) == 0)
 
 
