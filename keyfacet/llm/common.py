@@ -124,6 +124,15 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, most: int = 1024, leas
     )
 
 
+def small_side(keys: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``keys`` with a broadcast hint if it has at most ``most`` rows (of some numbers each), else as it is.
+
+    For joins with tables that carry texts: up to that size no text is shuffled, beyond it the
+    join shuffles both sides. ``keys`` should be a written table: it is counted first.
+    """
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def components(edges: DataFrame, name: str = "components", max_rounds: int = 50) -> DataFrame:
     """``node`` and ``component``, its smallest node, for undirected ``edges`` (a, b); by alternating stars.
 

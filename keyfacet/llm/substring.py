@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from keyfacet.llm.common import materialize, mix64, word_hashes, words_of
+from keyfacet.llm.common import discard, materialize, mix64, word_hashes, words_of
 
 SIZE, GRAM = 13, 6
 BUCKET_BYTES = 32 << 20
@@ -355,12 +355,14 @@ def _finish(rows: DataFrame, want_text: bool) -> DataFrame:
     return rows.mapInArrow(run, "id long, n long, removed long, kept string")
 
 
-def _dedup(docs: DataFrame, runs: DataFrame, buckets: int, id_col: str, text_col: str, history: DataFrame | None, want_text: bool) -> DataFrame:
+def _dedup(docs: DataFrame, runs: DataFrame, buckets: int, id_col: str, text_col: str, history: DataFrame | None, want_text: bool, keep_runs: bool = True) -> DataFrame:
     """id, n, removed and kept (digest, or the words themselves) of each row of ``docs``.
 
     ``history``: earlier documents; those that share fingerprints take part as owners only.
     """
     hints = materialize(shared_fingerprints(runs, buckets).withColumn("th", F.lit(None).cast("long")), "hints")
+    if not keep_runs:
+        discard(runs)
     shape = lambda d: d.filter(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"),
         F.hash(text_col).alias("th2"), F.octet_length(text_col).alias("tl"),
@@ -379,6 +381,8 @@ def _dedup(docs: DataFrame, runs: DataFrame, buckets: int, id_col: str, text_col
     texts = known.select("id", "text", "th", F.lit(None).cast("binary").alias("done"))
     staged = materialize(_compare(_with_hints(texts, notes), buckets, want_text), "windows")
 
+    discard(hints)
+
     def merge(bucket, columns):
         h1, h2, owner = np.frombuffer(columns[0], np.uint64), np.frombuffer(columns[1], np.uint32), np.frombuffer(columns[2], np.int64)
         order = np.argsort(h1, kind="stable")
@@ -405,7 +409,7 @@ def dedup_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Dedup of one whole table: a single batch without history."""
     buckets = bucket_count(docs, text_col)
     run = materialize(make_run(docs, id_col, text_col, buckets), "run")
-    return _dedup(docs, run, buckets, id_col, text_col, None, want_text)
+    return _dedup(docs, run, buckets, id_col, text_col, None, want_text, keep_runs=False)
 
 
 class FingerprintIndex:
