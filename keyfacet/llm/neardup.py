@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfacet.llm.common import components, join_hot, materialize, mix64, word_hashes
+from keyfacet.llm.common import components, discard, join_hot, materialize, mix64, small_side, word_hashes
 
 COORDS, MATCHES, COMMON = 48, 22, 4
 RANKS = 1 << 16
@@ -169,8 +169,8 @@ def _nodes(near: DataFrame) -> DataFrame:
 
 def _texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One text of each class in ``nodes``."""
-    keys = nodes.join(classes.select("node", "key", "bytes"), "node")
-    found = keyed_text(docs, id_col, text_col).drop("id").join(keys, ["key", "bytes"])
+    keys = materialize(nodes.join(classes.select("node", "key", "bytes"), "node"), "near-keys")
+    found = keyed_text(docs, id_col, text_col).drop("id").join(small_side(keys), ["key", "bytes"])
     return materialize(found.select("node", "text").dropDuplicates(["node"]), "near-texts")
 
 
@@ -231,6 +231,7 @@ def near_duplicates(
     posts = materialize(_postings(classes, COORDS - matches + COMMON), "postings")
     lists = posts.groupBy("token").agg(F.min("node").alias("head"), F.count("*").alias("size")).filter("size > 1")
     listed = materialize(join_hot(posts, lists.select("token", "head"), "token"), "lists")
+    discard(posts)
     stars = listed.filter("node <> head").select(F.col("head").alias("f"), F.col("head").alias("a"), F.col("node").alias("b"))
     stars = materialize(stars.distinct(), "stars")
     near = _near(stars, classes, matches, percent)
@@ -241,6 +242,7 @@ def near_duplicates(
     # Members of lists that still span components.
     labelled = listed.join(comps.withColumnRenamed("component", "c"), "node", "left")
     labelled = materialize(labelled.withColumn("c", F.coalesce("c", "node")), "labelled")
+    discard(listed)
     mains = labelled.groupBy("token").agg(
         F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.when(F.col("node") == F.col("head"), F.col("c"))).alias("main")
     ).filter("lo <> hi")
@@ -300,11 +302,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         F.count("*").alias("_n"), F.max(F.col("first_row").cast("int")).alias("_first"), F.max(F.col("n_shingles") > 0).alias("_words")
     )
     kept = copies.filter("_first = 1").select("key", "bytes", ((F.col("_n") > 1) & F.col("_words")).alias("_several"))
+    kept = materialize(kept, "near-kept")
     columns = docs.columns
     keyed = docs.select(
         *[F.col(c) for c in columns], F.xxhash64(F.col(id_col), F.col(text_col)).alias("__key"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("__bytes")
     )
-    joined = keyed.join(kept, (F.col("__key") == kept["key"]) & (F.col("__bytes") == kept["bytes"]))
+    joined = keyed.join(small_side(kept), (F.col("__key") == kept["key"]) & (F.col("__bytes") == kept["bytes"]))
     if not kept.filter("_several").isEmpty():
         several = joined.filter("_several").dropDuplicates(["__key", "__bytes"])
         joined = joined.filter("not _several").unionByName(several)
