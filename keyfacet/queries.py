@@ -408,7 +408,7 @@ def _engine(spark, d):
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="keyfacet-index-")
     import uuid
 
-    settings = EngineSettings(graph=GraphSettings(neighbor_threshold=0.5, expand_threshold=0.5), language="en")
+    settings = EngineSettings(graph=GraphSettings(edge_score=0.5, expand_score=0.5), language="en")
     engine = Engine(spark, f"{base}/index-{uuid.uuid4().hex}", settings=settings)
     engine.ingest(markdown(docs_of(spark, d)).select("doc_id", "text"))
     return engine, spark.createDataFrame(ENGINE_QUERIES, "query_id long, query string, query_language string")
