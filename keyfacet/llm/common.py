@@ -68,6 +68,32 @@ def worker_cache(name: str) -> dict:
     return sys.__dict__.setdefault("_keyfacet_cache", {}).setdefault(name, {})
 
 
+def sliced(batches, rows: int = 1000):
+    """Arrow batches in parts of at most ``rows`` rows; at the end of a task its free memory is given back.
+
+    A worker outlives its tasks and keeps what they touched, so unreturned memory of one stage
+    would add to that of the next.
+    """
+    try:
+        for b in batches:
+            for i in range(0, b.num_rows, rows):
+                yield b.slice(i, rows)
+    finally:
+        release_memory()
+
+
+def release_memory() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as UTF-8; null: none."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfacet.llm.common import materialize, mix64, n_buckets, worker_cache
+from keyfacet.llm.common import materialize, mix64, n_buckets, sliced, worker_cache
 
 TAIL = b".,|!?;:$%&*#-"
 CACHE_WORDS = 400_000
@@ -130,26 +130,24 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
 
     def run(batches):
         tok, task, seen = WordTokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
-        for b in batches:
-            for at in range(0, b.num_rows, SLICE):
-                part = b.slice(at, SLICE)
-                row, piece, start, length, crc = [], [], [], [], []
-                for i, raw in enumerate(tok.encode(part.column(1).to_pylist())):
-                    raw += end
-                    for k in range(0, len(raw), 4 * capacity):
-                        cut = raw[k : k + 4 * capacity]
-                        row.append(i)
-                        piece.append(k // (4 * capacity))
-                        start.append(k // 4)
-                        length.append(len(cut) // 4)
-                        crc.append(zlib.crc32(cut))
-                deal = mix64(np.arange(seen, seen + len(row), dtype=np.uint64) + (np.uint64(task) << np.uint64(40)))
-                seen += len(row)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                     pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array((deal >> np.uint64(1)).astype(np.int64))],
-                    names=[id_col, "piece", "start", "length", "ids_crc32", "deal"],
-                )
+        for part in sliced(batches, SLICE):
+            row, piece, start, length, crc = [], [], [], [], []
+            for i, raw in enumerate(tok.encode(part.column(1).to_pylist())):
+                raw += end
+                for k in range(0, len(raw), 4 * capacity):
+                    cut = raw[k : k + 4 * capacity]
+                    row.append(i)
+                    piece.append(k // (4 * capacity))
+                    start.append(k // 4)
+                    length.append(len(cut) // 4)
+                    crc.append(zlib.crc32(cut))
+            deal = mix64(np.arange(seen, seen + len(row), dtype=np.uint64) + (np.uint64(task) << np.uint64(40)))
+            seen += len(row)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                 pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array((deal >> np.uint64(1)).astype(np.int64))],
+                names=[id_col, "piece", "start", "length", "ids_crc32", "deal"],
+            )
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 

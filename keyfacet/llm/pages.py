@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfacet.llm.common import materialize
+from keyfacet.llm.common import materialize, sliced
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""",
@@ -161,7 +161,7 @@ def parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
     schema = f"id {pages.schema[id_col].dataType.simpleString()}, url string, text string, lines array<string>"
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             texts, lines = [], []
             for html in b.column("html").to_pylist():
                 main, other, found = page_lines(html or "")

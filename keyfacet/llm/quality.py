@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfacet.llm.common import mix64, word_hashes
+from keyfacet.llm.common import mix64, sliced, word_hashes
 
 BITS = 18
 DIMS = 1 << BITS
@@ -168,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, id_col: str
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def hashed(batches):
-        for b in batches:
+        for b in sliced(batches):
             f = [features(t).astype(np.int32).tobytes() for t in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_y"), b.column("_h"), pa.array(f, pa.binary())], names=["_id", "_y", "_h", "f"])
 
@@ -187,7 +187,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
 
     def run(batches):
         own = shared.value
-        for b in batches:
+        for b in sliced(batches):
             scores = [own.score(features(t)) for t in b.column("__text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(scores, pa.float64())], [*keep, "score"])
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyfacet.llm.common import words_of
+from keyfacet.llm.common import sliced, words_of
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_stops", "n_distinct")
 WHITE = b" \t\n\r\x0b\x0c"
@@ -75,7 +75,7 @@ def add_counts(docs: DataFrame, text_col: str, keep: list[str], prefix: str = ""
     inner = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             rows = np.array([text_counts(t) for t in b.column("__text").to_pylist()], np.int64).reshape(-1, len(COUNTS))
             counts = [pa.array(rows[:, i]) for i in range(len(COUNTS))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *counts], [*keep, *names])
