@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from keyfacet.llm import decontam, neardup, packing, rules, secrets
-from keyfacet.llm.common import materialize, table
+from keyfacet.llm.common import discard, materialize, table
 from keyfacet.llm.queries import tokenizer_path
 
 
@@ -53,8 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another; each result is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after another; each result is written and read again, then dropped once it is used."""
+    docs, written = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if written is not None:
+            discard(written)
+        written = docs
+    packed = STAGES[-1][1](spark, docs, sf_dir)  # the pieces are written by now
+    discard(written)
+    return packed

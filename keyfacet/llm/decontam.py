@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyfacet.llm.common import sliced
+
 PUNCT = bytes(c for c in range(128) if not chr(c).isalnum())
 TO_SPACE = bytes.maketrans(PUNCT, b" " * len(PUNCT))
 WIDE_PUNCT = "«»“”‘’„…–—¿¡ "
@@ -168,39 +170,42 @@ def find_leaks(
     ``block_items`` and ``block_chars`` bound what is gathered and broadcast at once; more items than that are
     taken in several blocks, each against all documents.
     """
-    spark = docs.sparkSession
-    wanted = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).filter("text is not null")
-    count, chars = wanted.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    blocks = max(1, -(-count // block_items), -(-chars // block_chars))
     id_type = docs.schema[id_col].dataType.simpleString()
     item_type = items.schema[item_col].dataType.simpleString()
-    out = None
-    n_docs = docs.count()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    for k in range(blocks):
-        block = wanted.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).orderBy("item", "text").collect()
-        index = spark.sparkContext.broadcast(ItemIndex([tuple(r) for r in block], n))
-        seeds = _seeds(texts, index, n_docs, rare_share)
-        part = _aligned(texts, index, spark.sparkContext.broadcast(seeds), least, id_type, item_type)
+    texts, out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), None
+    for index, seeds in _blocks(texts, items, item_col, item_text_col, n, rare_share, block_items, block_chars):
+        part = _aligned(texts, index, seeds, least, id_type, item_type)
         out = part if out is None else out.unionByName(part)
     return out.select(
         F.col("id").alias(id_col), F.col("item").alias(item_col), F.round("score", 6).alias("score"), "n_seeds", "word_from", "word_to"
     )
 
 
+def _blocks(texts: DataFrame, items: DataFrame, item_col: str, item_text_col: str, n: int, rare_share: float, block_items: int, block_chars: int):
+    """The broadcast index and seeds of each block of items, one block at a time."""
+    context = texts.sparkSession.sparkContext
+    wanted = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).filter("text is not null")
+    count, chars = wanted.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, -(-count // block_items), -(-chars // block_chars))
+    n_docs = texts.count()
+    for k in range(blocks):
+        block = wanted.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).orderBy("item", "text").collect()
+        index = context.broadcast(ItemIndex([tuple(r) for r in block], n))
+        yield index, context.broadcast(_seeds(texts, index, n_docs, rare_share))
+
+
 def _seeds(texts: DataFrame, index, n_docs: int, rare_share: float) -> np.ndarray:
     """Keys of the seeds, from counts of the items' n-grams over all documents."""
 
     def count(batches):
         own = index.value
         total = np.zeros(len(own.grams), np.int64)
-        for b in batches:
-            for i in range(0, b.num_rows, GROUP):
-                doc, _, key, _, _ = own.scan(b.column(0).slice(i, GROUP).to_pylist(), own.grams)
-                if len(key):
-                    place = np.searchsorted(own.grams, key)
-                    once = np.unique(doc * len(own.grams) + place) % len(own.grams)
-                    total += np.bincount(once, minlength=len(total))
+        for b in sliced(batches, GROUP):
+            doc, _, key, _, _ = own.scan(b.column(0).to_pylist(), own.grams)
+            if len(key):
+                place = np.searchsorted(own.grams, key)
+                once = np.unique(doc * len(own.grams) + place) % len(own.grams)
+                total += np.bincount(once, minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(own.grams[at]), pa.array(total[at])], names=["gram", "docs"])
 
@@ -222,22 +227,33 @@ def _seeds(texts: DataFrame, index, n_docs: int, rare_share: float) -> np.ndarra
 def _aligned(texts: DataFrame, index, seeds, least: float, id_type: str, item_type: str) -> DataFrame:
     def run(batches):
         own, grams = index.value, seeds.value
-        for b in batches:
-            for i in range(0, b.num_rows, GROUP):
-                part = b.slice(i, GROUP)
-                rows = list(own.hits(part.column(1).to_pylist(), grams, least))
-                if rows:
-                    doc, item, score, count, start, end = zip(*rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(doc, pa.int64())), pa.array(item), pa.array(score, pa.float64()),
-                         pa.array(count, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32())],
-                        names=["id", "item", "score", "n_seeds", "word_from", "word_to"],
-                    )
+        for part in sliced(batches, GROUP):
+            rows = list(own.hits(part.column(1).to_pylist(), grams, least))
+            if rows:
+                doc, item, score, count, start, end = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(doc, pa.int64())), pa.array(item), pa.array(score, pa.float64()),
+                     pa.array(count, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32())],
+                    names=["id", "item", "score", "n_seeds", "word_from", "word_to"],
+                )
 
     return texts.mapInArrow(run, f"id {id_type}, item {item_type}, score double, n_seeds int, word_from int, word_to int")
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` without a copy of any item, by text; the ids of leaks return by an anti-join."""
-    leaks = find_leaks(docs, items, id_col, text_col, **how).select(F.col(id_col).alias("_leak")).distinct()
-    return docs.join(leaks, docs[id_col].eqNullSafe(leaks["_leak"]), "left_anti")
+def drop_leaks(
+    docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, rare_share: float = 1e-3,
+    least: float = 0.5, block_items: int = 5_000, block_chars: int = 20_000_000,
+) -> DataFrame:
+    """The rows of ``docs`` that hold no copy of any item, as :func:`find_leaks` finds them; decided where a row is read."""
+    schema = docs.schema
+    for index, seeds in _blocks(docs.select(F.col(text_col).alias("text")), items, item_col, item_text_col, n, rare_share, block_items, block_chars):
+
+        def run(batches, index=index, seeds=seeds):
+            own, grams = index.value, seeds.value
+            at = schema.fieldNames().index(text_col)
+            for part in sliced(batches, GROUP):
+                bad = {h[0] for h in own.hits(part.column(at).to_pylist(), grams, least)}
+                yield part.filter(pa.array([k not in bad for k in range(part.num_rows)], pa.bool_())) if bad else part
+
+        docs = docs.mapInArrow(run, schema)
+    return docs

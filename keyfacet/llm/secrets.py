@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfacet.llm.common import materialize
+from keyfacet.llm.common import materialize, sliced, small_side
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A
@@ -100,7 +100,7 @@ def scan(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
         ]
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             found = pa.array([candidates(t) for t in b.column(text_at).to_pylist()], kind)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), found], [*keep, "candidates"])
 
@@ -192,8 +192,9 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
         .groupBy("_id")
         .agg(F.collect_set("c.hash").alias("_live"))
     )
+    live = materialize(live, "live")
     columns = docs.columns
-    joined = docs.join(live, docs[id_col].eqNullSafe(live["_id"]), "left").select(*[docs[c] for c in columns], "_live")
+    joined = docs.join(small_side(live), docs[id_col].eqNullSafe(live["_id"]), "left").select(*[docs[c] for c in columns], "_live")
 
     @F.pandas_udf("string")
     def cut(texts, lives):
