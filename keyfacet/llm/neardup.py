@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfacet.llm.common import components, discard, join_hot, materialize, mix64, small_side, word_hashes
+from keyfacet.llm.common import components, discard, join_hot, materialize, mix64, sliced, small_side, word_hashes
 
 COORDS, MATCHES, COMMON = 48, 22, 4
-RANKS = 1 << 16
+RANKS, PART = 1 << 20, 1 << 12
 LEFTS, RIGHTS = 64, 512
 ODD = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.Generator(np.random.PCG64(20240229))
@@ -72,7 +72,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     schema = f"id {id_type}, key long, bytes int, n long, h1 long, h2 long, sig binary"
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for text in b.column("text").to_pylist():
                 s = shingle_set(text)
@@ -107,21 +107,29 @@ def _tokens(sigs: list[bytes]) -> np.ndarray:
 def _token_counts(classes: DataFrame) -> np.ndarray:
     """Uses of the tokens of each of ``RANKS`` hash buckets: an order from rare to frequent.
 
-    The order only has to be the same everywhere; its size doesn't depend on the input.
+    The order only has to be the same everywhere; its size doesn't depend on the input. A task
+    sends its counts in parts of ``PART`` buckets.
     """
 
-    def run(batches):
-        total = np.zeros(RANKS, np.int64)
+    def count(batches):
+        total = np.zeros(RANKS, np.int32)
         for b in batches:
             if b.num_rows:
-                total += np.bincount((_tokens(b.column(0).to_pylist()).ravel() % RANKS).astype(np.int64), minlength=RANKS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "uses"])
-
-    out = np.zeros(RANKS, np.int64)
-    counted = classes.select("sig").mapInArrow(run, "bucket long, uses long").groupBy("bucket").agg(F.sum("uses").alias("uses"))
-    for r in counted.collect():
-        out[r["bucket"]] = r["uses"]
+                np.add.at(total, (_tokens(b.column(0).to_pylist()).ravel() % RANKS).astype(np.int64), 1)
+        parts = total.reshape(-1, PART)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([x.tobytes() for x in parts], pa.binary())], names=["part", "uses"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, uses in zip(b.column("part").to_pylist(), b.column("uses").to_pylist()):
+                sums[part] = sums.get(part, 0) + np.frombuffer(uses, np.int32).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "uses"])
+
+    schema, out = "part int, uses binary", np.zeros(RANKS, np.int64)
+    counted = classes.select("sig").mapInArrow(count, schema).repartition(RANKS // PART // 16, "part").mapInArrow(add, schema)
+    for r in counted.collect():  # RANKS numbers in all
+        out[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["uses"], np.int64)
     return out
 
 
@@ -195,7 +203,7 @@ def _confirm(near: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     def compare(batches):
         at, own = None, {}
-        for batch in batches:
+        for batch in sliced(batches):
             a_out, b_out = [], []
             for k, c, node, lefts, text in zip(*(batch.column(x).to_pylist() for x in ("k", "chunk", "node", "lefts", "text"))):
                 if at != (k, c):
