@@ -17,7 +17,20 @@ WORD_SQL = r"[^\x20\x09-\x0D]+"
 _OWN_DIR: dict[str, str] = {}
 
 
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Send texts to Python in smaller Arrow batches than Spark's 10,000 rows, unless the session sets a number.
+
+    A batch is built outside the heap of each running task; 10,000 long texts take more than a task's share.
+    """
+    if spark.conf.get(BATCH_KEY) == "10000" and not spark.sparkContext.getConf().contains(BATCH_KEY):
+        spark.conf.set(BATCH_KEY, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -46,6 +59,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage at a table that survives the loss of executors.
     """
     spark = df.sparkSession
+    text_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -82,6 +96,21 @@ def sliced(batches, rows: int = 1000):
         release_memory()
 
 
+def gathered(batches, rows: int):
+    """Arrow batches put together to ``rows`` rows or a little more; memory as in :func:`sliced`."""
+    held: list[pa.RecordBatch] = []
+    try:
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= rows:
+                yield pa.concat_batches(held)
+                held = []
+        if held:
+            yield pa.concat_batches(held)
+    finally:
+        release_memory()
+
+
 def release_memory() -> None:
     import ctypes
     import gc

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from keyfacet.llm.common import discard, materialize, mix64, sliced, word_hashes, words_of
+from keyfacet.llm.common import discard, gathered, materialize, mix64, sliced, word_hashes, words_of
 
 SIZE, GRAM = 13, 6
 BATCH = 10_000
@@ -104,7 +104,7 @@ def make_run(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataF
     """
 
     def entries(batches):
-        for b in sliced(batches, BATCH):
+        for b in gathered(batches, BATCH):
             fps, owner = [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = words_of(text)
@@ -281,7 +281,7 @@ def _compare(rows: DataFrame, buckets: int, want_text: bool) -> DataFrame:
 
     def run(batches):
         at, hint, copies = None, [], set()
-        for b in sliced(batches, BATCH):
+        for b in gathered(batches, BATCH):
             out, h1s, h2s, owners, places, texts = _Rows(), [], [], [], [], []
             for id_, blob, th, text, side in zip(*(b.column(c).to_pylist() for c in ("id", "blob", "th", "text", "side"))):
                 if id_ != at:
@@ -332,7 +332,7 @@ def _compare(rows: DataFrame, buckets: int, want_text: bool) -> DataFrame:
 def _finish(rows: DataFrame, want_text: bool) -> DataFrame:
     def run(batches):
         at, hint = None, []
-        for b in sliced(batches, BATCH):
+        for b in sliced(batches):
             ids, results = [], []
             for id_, blob, text, done, side in zip(*(b.column(c).to_pylist() for c in ("id", "blob", "text", "done", "side"))):
                 if id_ != at:
