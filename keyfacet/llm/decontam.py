@@ -1,15 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are lower-cased and freed of punctuation. A first scan counts, for every n-gram of the test
-items, the documents that hold it. Seeds are the n-grams rare in the corpus and, for each
-item, the rarer half of its own, so an item copied into very many documents keeps its seeds. A
-second scan aligns each item with the passage around its seeds; what scores over the
-threshold is a copy, edited or paraphrased ones included.
+Words are lower-cased and freed of punctuation. Every n-gram of a test item is a seed, however many
+documents hold it: a verdict rests on the document and the item alone, not on how often others
+copied the item. A scan aligns each item with the passages around its seeds, unless too few of its
+words are there to reach the threshold; what scores over it is a copy, edited ones included.
 
-No text is shuffled. The test items are broadcast in blocks of a set size, one pair of scans a block.
+No text is shuffled. The test items are broadcast in blocks of a set size, one scan a block.
 
 Defined results: null or blank texts and items match nothing; items of fewer words than ``n`` can't be
-seeded and match nothing; equal items are scored apart; repeated documents give repeated rows.
+seeded and match nothing, nor does an edited copy that keeps no ``n`` words in a row; equal items are scored apart; repeated documents give repeated rows.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyfacet.llm.common import sliced
@@ -112,8 +111,8 @@ class ItemIndex:
             out = out * self.base + part
         return np.where(ok, out, -1)
 
-    def scan(self, texts: list[str | None], grams: np.ndarray):
-        """(document number, word position, key) of every n-gram in ``grams``, and the word ids with their starts."""
+    def scan(self, texts: list[str | None]):
+        """(document number, word position, key) of every n-gram of the items, and the word ids with their starts."""
         get, flat, starts = self.vocab.get, [], [0]
         for t in texts:
             flat.extend(map(get, plain_words(t), repeat(ALONE)))
@@ -122,17 +121,17 @@ class ItemIndex:
         ids = np.array(flat, np.int64)
         keys = self.keys(ids)
         at = np.flatnonzero(keys >= 0)
-        if len(at) and len(grams):
-            place = np.minimum(np.searchsorted(grams, keys[at]), len(grams) - 1)
-            at = at[grams[place] == keys[at]]
+        if len(at) and len(self.grams):
+            place = np.minimum(np.searchsorted(self.grams, keys[at]), len(self.grams) - 1)
+            at = at[self.grams[place] == keys[at]]
         else:
             at = at[:0]
         starts = np.array(starts, np.int64)
         return np.searchsorted(starts, at, side="right") - 1, at, keys[at], ids, starts
 
-    def hits(self, texts: list[str | None], seeds: np.ndarray, least: float):
+    def hits(self, texts: list[str | None], least: float):
         """(document number, item, score, seeds, begin, end) of every copy."""
-        doc, at, key, ids, starts = self.scan(texts, seeds)
+        doc, at, key, ids, starts = self.scan(texts)
         found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         for d, p, k in zip(doc.tolist(), at.tolist(), key.tolist()):
             for item, q in self.places[k]:
@@ -163,7 +162,7 @@ class ItemIndex:
 
 def find_leaks(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", n: int = 3, rare_share: float = 1e-3, least: float = 0.5, block_items: int = 5_000, block_chars: int = 20_000_000,
+    item_text_col: str = "text", n: int = 3, least: float = 0.5, block_items: int = 5_000, block_chars: int = 20_000_000,
 ) -> DataFrame:
     """One row for each document and item it holds a copy of: score from ``least`` to 1, seeds, words from and to.
 
@@ -173,62 +172,30 @@ def find_leaks(
     id_type = docs.schema[id_col].dataType.simpleString()
     item_type = items.schema[item_col].dataType.simpleString()
     texts, out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), None
-    for index, seeds in _blocks(texts, items, item_col, item_text_col, n, rare_share, block_items, block_chars):
-        part = _aligned(texts, index, seeds, least, id_type, item_type)
+    for index in _blocks(texts.sparkSession, items, item_col, item_text_col, n, block_items, block_chars):
+        part = _aligned(texts, index, least, id_type, item_type)
         out = part if out is None else out.unionByName(part)
     return out.select(
         F.col("id").alias(id_col), F.col("item").alias(item_col), F.round("score", 6).alias("score"), "n_seeds", "word_from", "word_to"
     )
 
 
-def _blocks(texts: DataFrame, items: DataFrame, item_col: str, item_text_col: str, n: int, rare_share: float, block_items: int, block_chars: int):
-    """The broadcast index and seeds of each block of items, one block at a time."""
-    context = texts.sparkSession.sparkContext
+def _blocks(spark: SparkSession, items: DataFrame, item_col: str, item_text_col: str, n: int, block_items: int, block_chars: int):
+    """The broadcast index of each block of items, one block at a time."""
+    context = spark.sparkContext
     wanted = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).filter("text is not null")
     count, chars = wanted.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     blocks = max(1, -(-count // block_items), -(-chars // block_chars))
-    n_docs = texts.count()
     for k in range(blocks):
         block = wanted.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).orderBy("item", "text").collect()
-        index = context.broadcast(ItemIndex([tuple(r) for r in block], n))
-        yield index, context.broadcast(_seeds(texts, index, n_docs, rare_share))
+        yield context.broadcast(ItemIndex([tuple(r) for r in block], n))
 
 
-def _seeds(texts: DataFrame, index, n_docs: int, rare_share: float) -> np.ndarray:
-    """Keys of the seeds, from counts of the items' n-grams over all documents."""
-
-    def count(batches):
-        own = index.value
-        total = np.zeros(len(own.grams), np.int64)
-        for b in sliced(batches, GROUP):
-            doc, _, key, _, _ = own.scan(b.column(0).to_pylist(), own.grams)
-            if len(key):
-                place = np.searchsorted(own.grams, key)
-                once = np.unique(doc * len(own.grams) + place) % len(own.grams)
-                total += np.bincount(once, minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(own.grams[at]), pa.array(total[at])], names=["gram", "docs"])
-
-    own = index.value
-    df = dict.fromkeys(own.grams.tolist(), 0)
-    if not df:
-        return own.grams
-    counted = texts.select("text").mapInArrow(count, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
-    df |= {r["gram"]: r["docs"] for r in counted.collect()}  # at most the n-grams of one block of items
-    rare = max(1, rare_share * n_docs)
-    seeds = {g for g, c in df.items() if c <= rare}
-    for ids in own.ids:
-        mine = sorted({(df[g], g) for g in own.keys(ids).tolist()})
-        middle = mine[(len(mine) - 1) // 2][0]
-        seeds |= {g for c, g in mine if c <= middle}
-    return np.array(sorted(seeds), np.int64)
-
-
-def _aligned(texts: DataFrame, index, seeds, least: float, id_type: str, item_type: str) -> DataFrame:
+def _aligned(texts: DataFrame, index, least: float, id_type: str, item_type: str) -> DataFrame:
     def run(batches):
-        own, grams = index.value, seeds.value
+        own = index.value
         for part in sliced(batches, GROUP):
-            rows = list(own.hits(part.column(1).to_pylist(), grams, least))
+            rows = list(own.hits(part.column(1).to_pylist(), least))
             if rows:
                 doc, item, score, count, start, end = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
@@ -241,18 +208,18 @@ def _aligned(texts: DataFrame, index, seeds, least: float, id_type: str, item_ty
 
 
 def drop_leaks(
-    docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, rare_share: float = 1e-3,
+    docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3,
     least: float = 0.5, block_items: int = 5_000, block_chars: int = 20_000_000,
 ) -> DataFrame:
     """The rows of ``docs`` that hold no copy of any item, as :func:`find_leaks` finds them; decided where a row is read."""
     schema = docs.schema
-    for index, seeds in _blocks(docs.select(F.col(text_col).alias("text")), items, item_col, item_text_col, n, rare_share, block_items, block_chars):
+    for index in _blocks(docs.sparkSession, items, item_col, item_text_col, n, block_items, block_chars):
 
-        def run(batches, index=index, seeds=seeds):
-            own, grams = index.value, seeds.value
+        def run(batches, index=index):
+            own = index.value
             at = schema.fieldNames().index(text_col)
             for part in sliced(batches, GROUP):
-                bad = {h[0] for h in own.hits(part.column(at).to_pylist(), grams, least)}
+                bad = {h[0] for h in own.hits(part.column(at).to_pylist(), least)}
                 yield part.filter(pa.array([k not in bad for k in range(part.num_rows)], pa.bool_())) if bad else part
 
         docs = docs.mapInArrow(run, schema)

@@ -32,6 +32,20 @@ def test_item_in_most_documents_keeps_its_seeds(spark):
     assert sorted(r["doc_id"] for r in found.collect()) == [i for i in range(60) if i % 3]
 
 
+def test_edited_copy_of_an_item_in_a_third_of_the_documents(spark):
+    item = prose(902, 15)
+    words = item.split()
+    often = " ".join(words[:5]) + " " + prose(903, 20) + " " + " ".join(words[3:8])  # the first eight words recur, under the threshold
+    edited = prose(904, 20) + " " + " ".join(words[:8]) + " " + prose(905, 20)
+    docs = [(i, prose(i, 20) + " " + (item, often, prose(7777 + i, 15))[i % 3]) for i in range(60)] + [(60, edited)]
+    asked = spark.createDataFrame([(1, item)], "item_id long, text string")
+    schema, hot = "doc_id long, text string", [i for i in range(60) if i % 3 == 0]
+    docs = spark.createDataFrame(docs, schema)
+    assert {r["doc_id"]: r["score"] for r in decontam.find_leaks(docs, asked).collect()} == dict.fromkeys(hot, 1.0) | {60: 0.533333}
+    assert sorted(r["doc_id"] for r in decontam.drop_leaks(docs, asked).collect()) == [i for i in range(60) if i % 3]
+    assert decontam.find_leaks(docs.filter("doc_id = 60"), asked).count() == 1
+
+
 def test_blocks_give_the_same(spark):
     docs = spark.createDataFrame([(i, prose(i, 20) + " " + prose(500 + i, 25)) for i in range(20)], "doc_id long, text string")
     items = spark.createDataFrame([(i, prose(500 + i, 25)) for i in range(20)], "item_id long, text string")
