@@ -3,14 +3,16 @@
 A page is read into lines, one a block, without scripts, styles, forms and the elements that name
 themselves as menus, headers, footers, sidebars, notices, adverts or comments. If it has a content
 container (``article``, ``main``), the lines inside are its text. Otherwise the page is paired with the
-page of the nearest URL path on its host, the lines of both are aligned by their longest
-common subsequence, and the shared lines, the template, are deleted.
+page of the nearest URL path on its host that has other lines, the lines of both are aligned by their
+longest common subsequence, and the shared lines, the template, are deleted. Copies, pages with equal
+lines that are neighbours by URL, are paired as one page: none is the template of another.
 
 Differencing alone would be wrong for pages with a container: their menus differ from page to page,
 while titles and paragraphs recur on neighbouring pages and would be deleted.
 
 Defined results: null or empty html gives the empty text; a page without container and without another such
-page on its host keeps all its lines; equal URLs pair with each other; repeated rows give repeated rows.
+page of other lines on its host keeps all its lines; equal URLs pair with each other if their lines
+differ; repeated rows give repeated rows.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfacet.llm.common import materialize, sliced
+from keyfacet.llm.common import join_hot, materialize, sliced
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""",
@@ -182,38 +184,54 @@ def url_key(url: str = "url") -> tuple[F.Column, F.Column]:
     return host, path
 
 
-def _indexed(keys: DataFrame) -> DataFrame:
-    """Rows in the order of host and path with their place, 0 to n - 1; no task sees more than its range."""
+def _runs(keys: DataFrame) -> DataFrame:
+    """Rows in the order of host and path with the number of their run, neighbours of one host with the same lines.
+
+    Runs count from 0 in that order; no task sees more than its range.
+    """
 
     def number(batches):
-        part, at = TaskContext.get().partitionId(), 0
+        part, at, run, last = TaskContext.get().partitionId(), 0, -1, None
         for b in batches:
+            runs = []
+            for here in zip(b.column("host").to_pylist(), b.column("same").to_pylist()):
+                if here != last:
+                    run, last = run + 1, here
+                runs.append(run)
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([part] * b.num_rows, pa.int32()), pa.array(range(at, at + b.num_rows), pa.int64())], names=[*b.schema.names, "part", "at"]
+                [*b.columns, pa.array([part] * b.num_rows, pa.int32()), pa.array(range(at, at + b.num_rows), pa.int64()), pa.array(runs, pa.int64())],
+                names=[*b.schema.names, "part", "at", "run"],
             )
             at += b.num_rows
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys.schema) + ", part int, at long"
-    ranged = materialize(keys.orderBy("host", "path", "row").mapInArrow(number, schema), "url-order")
-    start, rows = 0, []
-    for r in ranged.groupBy("part").count().orderBy("part").collect():  # a row a range
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys.schema) + ", part int, at long, run long"
+    ranged = materialize(keys.orderBy("host", "path", "same", "row").mapInArrow(number, schema), "url-order")
+    page = F.struct("host", "same")
+    ends = ranged.groupBy("part").agg(F.min_by(page, "at").alias("first"), F.max_by(page, "at").alias("last"), F.max("run").alias("more"))
+    start, before, rows = -1, None, []
+    for r in ends.orderBy("part").collect():  # a row a range
+        start += r["first"] != before  # else the range goes on with the run before it
         rows.append((r["part"], start))
-        start += r["count"]
+        start, before = start + r["more"], r["last"]
     starts = keys.sparkSession.createDataFrame(rows, "part int, start long")
-    return ranged.join(F.broadcast(starts), "part").withColumn("place", F.col("start") + F.col("at")).drop("part", "at", "start")
+    return ranged.join(F.broadcast(starts), "part").select("row", "host", "path", (F.col("start") + F.col("run")).alias("run"))
 
 
 def template_free(open_pages: DataFrame) -> DataFrame:
-    """``row`` and ``text`` of pages without container: lines that the nearest page on the host lacks."""
+    """``row`` and ``text`` of pages without container: lines that the nearest page of other lines on the host lacks."""
     host, path = url_key()
-    order = materialize(_indexed(open_pages.select("row", host.alias("host"), path.alias("path"))), "url-places")
-    side = lambda name, step: order.select(
-        (F.col("place") + step).alias("place"), F.col("row").alias(f"{name}_row"), F.col("host").alias(f"{name}_host"), F.col("path").alias(f"{name}_path")
+    same = F.sha2(F.concat_ws("\n", "lines"), 256)  # no line holds a line break
+    rows = materialize(_runs(open_pages.select("row", host.alias("host"), path.alias("path"), same.alias("same"))), "url-runs")
+    page = F.struct("path", "row")
+    runs = materialize(rows.groupBy("run").agg(F.min("host").alias("host"), F.min(page).alias("first"), F.max(page).alias("last")), "url-places")
+    side = lambda name, step, end: runs.select(
+        (F.col("run") + step).alias("run"), F.col("host").alias(f"{name}_host"), F.col(f"{end}.path").alias(f"{name}_path"), F.col(f"{end}.row").alias(f"{name}_row")
     )
-    both = order.join(side("up", 1), "place", "left").join(side("down", -1), "place", "left")
-    prefix = lambda p: F.when(F.col(f"{p}_host") == F.col("host"), _common(F.col("path"), F.col(f"{p}_path"))).otherwise(-1)
-    near = F.when((prefix("up") >= prefix("down")) & (prefix("up") >= 0), F.col("up_row")).when(prefix("down") >= 0, F.col("down_row"))
-    pairs = both.select("row", near.alias("near"))
+    both = runs.join(side("up", 1, "last"), "run", "left").join(side("down", -1, "first"), "run", "left")
+    prefix = lambda p, end: F.when(F.col(f"{p}_host") == F.col("host"), _common(F.col(f"{end}.path"), F.col(f"{p}_path"))).otherwise(-1)
+    up, down = prefix("up", "first"), prefix("down", "last")
+    near = F.when((up >= down) & (up >= 0), F.col("up_row")).when(down >= 0, F.col("down_row"))
+    pairs = both.select("run", F.col("first.row").alias("row"), near.alias("near"))
     lines = open_pages.select("row", "lines")
     paired = pairs.join(lines, "row").join(lines.select(F.col("row").alias("near"), F.col("lines").alias("near_lines")), "near", "left")
 
@@ -221,9 +239,10 @@ def template_free(open_pages: DataFrame) -> DataFrame:
         for b in batches:
             own, other = b.column("lines").to_pylist(), b.column("near_lines").to_pylist()
             texts = ["\n".join(difference(x, y or [])) for x, y in zip(own, other)]
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
+            yield pa.RecordBatch.from_arrays([b.column("run"), pa.array(texts, pa.string())], names=["run", "text"])
 
-    return paired.select("row", "lines", "near_lines").mapInArrow(run, "row long, text string")
+    texts = materialize(paired.select("run", "lines", "near_lines").mapInArrow(run, "run long, text string"), "url-texts")
+    return join_hot(rows.select("row", "run"), texts, "run").select("row", "text")
 
 
 def _common(a: F.Column, b: F.Column) -> F.Column:

@@ -36,3 +36,21 @@ def test_pages_and_nearest_url(spark):
     assert texts[6] == "" and texts[7] == "" and texts[8] == "x" and texts[None] == "\n".join(["w"] * 20_000)
     assert [t for i, t in got if i == 2] in (["", ""], ["first", ""], ["", "first"], ["first", "first"])
     assert pages.main_text(df.limit(0)).count() == 0
+
+
+def test_copies_are_not_the_template_of_each_other(spark):
+    bare = lambda own: f"<html><body><div>Home</div><div>Archive</div><p>{own}</p><div>Imprint</div></body></html>"
+    rows = [(1, "http://b.org/x/1.html", "first")] * 2 + [(2, "http://b.org/x/2", "second"), (3, "http://b.org/x/2/amp", "second"), (4, "http://b.org/x/2?print", "second")]
+    rows += [(5, "http://b.org/y/9", "third")] + [(6, f"http://d.org/{k % 3}", "only") for k in range(9)] + [(7, "http://e.org/1", "only")]
+    rows += [(100 + k, f"http://f.org/{k // 50}", f"text {k // 50}") for k in range(200)]  # groups of copies that ranges cut
+    df = spark.createDataFrame([(i, url, bare(own)) for i, url, own in rows], "page_id long, url string, html string")
+    whole = lambda own: f"Home\nArchive\n{own}\nImprint" if own == "only" else own
+    for parts in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = sorted((r["page_id"], r["text"]) for r in pages.main_text(df).collect())
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "2")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert got == sorted((i, whole(own)) for i, _, own in rows)
