@@ -185,8 +185,8 @@ def lexical_proximity(spark, d):
   SELECT query_id, kp_no, doc_id, n, r, row_number() OVER (PARTITION BY query_id, kp_no ORDER BY doc_id) AS rn FROM req JOIN nested ON list_has_all(flatten(n), r) WHERE len(r) > 0)
 SELECT query_id, doc_id AS node_id, min(kp_no)::INT AS kp_no FROM c WHERE rn <= 4096 AND len(list_filter(n, lambda s: list_has_all(s, r))) > 0 GROUP BY ALL""")
 def lexical_multi_keypoint(spark, d):
-    """Union over keypoints with the engine's default candidate cap before the sentence test."""
-    return lexical.union_keypoints(lexical.proximity_search(asked(spark), lex_of(spark, d)))
+    """Union over keypoints with the reference's candidate cap before the sentence test."""
+    return lexical.union_keypoints(lexical.proximity_search(asked(spark), lex_of(spark, d), max_candidates=4096))
 
 
 # ---- dense -------------------------------------------------------------------------------------
