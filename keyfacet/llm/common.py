@@ -10,8 +10,9 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 _OWN_DIR: dict[str, str] = {}
@@ -159,36 +160,147 @@ def with_columns_like(df: DataFrame, template: DataFrame) -> DataFrame:
     return df.select(*[F.col(c) for c in template.columns])
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, most: int = 1024, least: int = 100_000) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str, most: int = 1024, least: int = 100_000, counted: DataFrame | None = None, salts: int = 256) -> DataFrame:
     """Inner join on ``key`` where ``left`` may have hot keys and ``right`` has each key once.
 
     Keys with more than 1 in ``most`` of the left rows (there are fewer than ``most`` of them, whatever the
-    data) are joined by broadcasting their few rows of ``right``; all others by a shuffle.
-    ``left`` should be a written table: it is counted first.
+    data) are spread: their left rows over ``salts`` parts by a hash, their row of ``right`` copied to each.
+    Keys are counted in ``counted``, a written table with the same keys, or in ``left`` itself.
     """
-    total = left.count()
-    if total <= least:
-        return left.join(right, key)
-    hot = [r[0] for r in left.groupBy(key).count().filter(F.col("count") > max(least, total // most)).select(key).collect()]
+    counted = left if counted is None else counted
+    total = counted.count()
+    hot = []
+    if total > least:
+        hot = [r[0] for r in counted.groupBy(key).count().filter(F.col("count") > max(least, total // most)).select(key).collect()]
     if not hot:
         return left.join(right, key)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    return (
-        left.filter(~is_hot).join(right.filter(~is_hot), key)
-        .unionByName(left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), key))
-    )
+    salt = spare([*left.columns, *right.columns], "__salt")[0]
+    # The other columns decide, so equal rows share a part.
+    dealt = left.withColumn(salt, F.when(is_hot, F.pmod(F.xxhash64(*map(column, left.columns)), F.lit(salts)).cast("int")).otherwise(0))
+    copies = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    return dealt.join(right.withColumn(salt, copies), [key, salt]).drop(salt)
+
+
+def spare(columns, *names: str) -> list[str]:
+    """``names``, each with underscores before it until no column has that name."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
 
+def plain_scan(docs: DataFrame) -> bool:
+    """Whether every row of ``docs`` is a row of one Parquet table: a scan under deterministic columns and filters."""
 
-def small_side(keys: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """``keys`` with a broadcast hint if it has at most ``most`` rows (of some numbers each), else as it is.
+    def fits(plan) -> bool:
+        children = plan.children()
+        if plan.nodeName() not in ("Project", "Filter", "SubqueryAlias", "LogicalRelation") or not plan.deterministic() or children.size() > 1:
+            return False
+        return all(fits(children.apply(i)) for i in range(children.size()))
 
-    For joins with tables that carry texts: up to that size no text is shuffled, beyond it the
-    join shuffles both sides. ``keys`` should be a written table: it is counted first.
+    try:
+        docs.select(docs.metadataColumn("_metadata")["row_index"])
+        return fits(docs._jdf.queryExecution().analyzed())
+    except AnalysisException:
+        return False
+
+
+class Located:
+    """A table whose rows have numbers that any later scan gives again: file and place in the file.
+
+    Later steps then send row numbers instead of texts, and rows are chosen where they are read. A table
+    that isn't a plain scan of Parquet files (columns and filters apart) is written once first.
     """
-    return F.broadcast(keys) if keys.count() <= most else keys
 
+    def __init__(self, docs: DataFrame):
+        self.docs = docs if plain_scan(docs) else materialize(docs, "located")
+        self.columns = self.docs.columns
+        paths = sorted({f.replace(":///", ":/") for f in self.docs.inputFiles()})
+        schema = "__no long, __path string"
+        self.files = docs.sparkSession.createDataFrame(list(enumerate(paths)), schema)
+
+    def path(self) -> Column:
+        return F.replace(self.docs.metadataColumn("_metadata")["file_path"], F.lit(":///"), F.lit(":/"))
+
+    def numbered(self, name: str, part: Column | None = None) -> DataFrame:
+        """All columns and each row's number. ``part``: a condition on :meth:`path`, by which files are left unread."""
+        docs = self.docs if part is None else self.docs.filter(part)
+        path, at = spare([*self.columns, name, "__no", "__path"], "__file", "__at")
+        rows = docs.select(*map(column, self.columns), self.path().alias(path), self.docs.metadataColumn("_metadata")["row_index"].alias(at))
+        files = self.files.withColumnsRenamed(dict(zip(("__no", "__path"), spare(rows.columns, "__no", "__path"))))
+        no = files.columns[0]
+        # One row a file is broadcast.
+        named = rows.join(F.broadcast(files), rows[path] == files[files.columns[1]], "left")
+        number = F.coalesce(F.shiftleft(no, 40), F.raise_error(F.lit("a file that wasn't listed")).cast("long"))
+        return named.select(*map(column, self.columns), number.bitwiseOR(F.col(at)).alias(name))
+
+    def pick(self, marks: Marks, name: str, on: bool = True) -> DataFrame:
+        """The marked rows, or the others, with all columns and their number."""
+        group = F.pmod(F.xxhash64(self.path()), F.lit(marks.groups))
+        parts = [None] if marks.groups == 1 else [group == k for k in range(marks.groups)]
+        return _union(marks.choose(self.numbered(name, part), name, on, k) for k, part in enumerate(parts))
+
+
+class Marks:
+    """A set of row numbers of a :class:`Located` table as bits, 4096 rows a record.
+
+    The bits are broadcast, at most ``most`` records at once (75 MB for half a billion rows): beyond that, the
+    table's files are taken in groups, each with its own bits. The plan of a group is the same at every size.
+    """
 
-def components(edges: DataFrame, name: str = "components", max_rounds: int = 50) -> DataFrame:
+    def __init__(self, at: Located, rows: DataFrame, name: str, most: int = 1 << 17):
+        long = lambda n: F.lit(n).cast("long")
+        word = F.shiftright(column(name), 6)
+        bit = F.expr(f"shiftleft(1L, cast(`{name}` & 63 as int))")
+        words = rows.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+        chunks = words.groupBy(F.shiftright("word", 6).alias("chunk")).agg(
+            F.map_from_entries(F.collect_list(F.struct(F.col("word").bitwiseAND(long(63)), "bits"))).alias("m")
+        )
+        bits = F.transform(F.sequence(long(0), long(63)), lambda i: F.coalesce(F.try_element_at("m", i), long(0)))
+        self.table = materialize(chunks.select("chunk", bits.alias("bits")), "marks")
+        self.groups = max(1, -(-self.table.count() // most))
+        self.at = at
+
+    def choose(self, rows: DataFrame, name: str, on: bool = True, group: int = 0) -> DataFrame:
+        """The rows of one group of files whose number ``name`` is marked, or isn't."""
+        table = self.table
+        if self.groups > 1:
+            own = self.at.files.filter(F.pmod(F.xxhash64("__path"), F.lit(self.groups)) == group).select("__no")
+            table = table.join(F.broadcast(own), F.shiftright("chunk", 28) == F.col("__no"), "left_semi")
+        chunk, bits = spare(rows.columns, "__chunk", "__bits")
+        table = table.select(F.col("chunk").alias(chunk), F.col("bits").alias(bits))
+        number = column(name)
+        joined = rows.join(F.broadcast(table), F.shiftright(number, 12) == F.col(chunk), "inner" if on else "left")
+        bit = F.expr(f"getbit(get(`{bits}`, cast(shiftright(`{name}`, 6) & 63 as int)), cast(`{name}` & 63 as int))")
+        return joined.filter(bit == 1 if on else F.coalesce(bit, F.lit(0).cast("tinyint")) == 0).select(*map(column, rows.columns))
+
+    def of(self, rows: DataFrame, name: str, on: bool = True) -> DataFrame:
+        """The rows of any table with a column of row numbers that are marked, or aren't."""
+        if self.groups == 1:
+            return self.choose(rows, name, on)
+        no, group = spare(rows.columns, "__no", "__group")
+        files = self.at.files.select(F.col("__no").alias(no), F.pmod(F.xxhash64("__path"), F.lit(self.groups)).alias(group))
+        named = rows.join(F.broadcast(files), F.shiftright(column(name), 40) == F.col(no))
+        return _union(self.choose(named.filter(F.col(group) == k).select(*map(column, rows.columns)), name, on, k) for k in range(self.groups))
+
+
+def _union(parts) -> DataFrame:
+    out = None
+    for part in parts:
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """``node`` and ``component``, its smallest node, for undirected ``edges`` (a, b); by alternating stars.
 
     Each round rewires every node to its least neighbour (large star, then small star) and writes the
@@ -216,14 +328,14 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 50)
 
     current = materialize(edges.filter("a <> b").select("a", "b").distinct(), name)
     seen = digest(current)
-    for _ in range(max_rounds):
-        current = star(star(current, False, "-large"), True, "-small")
-        now = digest(current)
+    while True:
+        after = star(star(current, False, "-large"), True, "-small")
+        now = digest(after)
+        discard(current)
+        current = after
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

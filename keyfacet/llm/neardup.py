@@ -6,15 +6,20 @@ value of its signature. Two classes over the Jaccard threshold agree in at least
 ``common`` pairs among the ``coords - matches + common`` rarest of either: only that prefix is posted, and
 frequent pairs, such as those of function words, are skipped.
 
-Lists aren't expanded into all pairs. Each first links its members to its lowest one; links are
-confirmed on full sets and joined into components. Then only members outside the
-component of a list's lowest member are counted against the members of other components; pairs that meet
-in ``common`` lists are compared. So a list of copies costs one comparison a member, and no link
-between components is lost.
+Lists aren't expanded into all pairs. A list links its members to its lowest one; such pairs that meet in
+``common`` lists are compared, links are confirmed on full sets and joined into components. Then only members
+outside the component of a list's lowest member are counted against the members of other
+components. Lists of up to ``BIG`` members are counted as pairs; of longer ones, members outside are compared
+with all members by signature, in blocks of bounded size spread over tasks. So a list of copies costs one
+comparison a member, and no link between components is lost.
+
+Rows are known by their place in the table (:class:`~keyfacet.llm.common.Located`): signatures and texts
+are picked where they are read, and only texts of classes with a candidate travel.
 
 Defined results: words are runs of other than ASCII white space, A to Z lower-cased; null, empty and
 blank texts have no shingles and link with nothing; a text of one word has that word as its set;
-repeated rows are one class; a null id sorts after all others; an empty table gives no rows.
+repeated rows are one class; a null id sorts after all others; an empty table gives no rows; columns besides
+id and text, whatever their names, don't count.
 """
 
 from __future__ import annotations
@@ -24,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfacet.llm.common import components, discard, join_hot, materialize, mix64, sliced, small_side, word_hashes
+from keyfacet.llm.common import Located, Marks, column, components, discard, join_hot, materialize, mix64, sliced, spare, word_hashes
 
 COORDS, MATCHES, COMMON = 48, 22, 4
 RANKS, PART = 1 << 20, 1 << 12
-LEFTS, RIGHTS = 64, 512
+LEFTS, RIGHTS, CHUNKS = 64, 512, 256
+BIG, BLOCK = 64, 2048
 ODD = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 MULT = (_RNG.integers(1, 1 << 63, COORDS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -64,12 +70,11 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Row number, id, key of the row, size and 128-bit hash of the set, signature."""
+def signed(at: Located, id_col: str, text_col: str) -> DataFrame:
+    """Number and id of each row, size and 128-bit hash of its set, signature."""
     import xxhash
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {id_type}, key long, bytes int, n long, h1 long, h2 long, sig binary"
+    id_type = at.docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in sliced(batches):
@@ -83,19 +88,17 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 ))
             n, h1, h2, sig = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("key"), b.column("bytes"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())],
-                names=["id", "key", "bytes", "n", "h1", "h2", "sig"],
+                [b.column("row"), b.column("id"), pa.array(n, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())],
+                names=["row", "id", "n", "h1", "h2", "sig"],
             )
 
-    keyed = keyed_text(docs, id_col, text_col)
-    return keyed.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
+    return _texts(at, id_col, text_col).mapInArrow(run, f"row long, id {id_type}, n int, h1 long, h2 long, sig binary")
 
 
-def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"),
-        F.coalesce(F.octet_length(text_col), F.lit(0)).alias("bytes"), F.col(text_col).alias("text"),
-    )
+def _texts(at: Located, id_col: str, text_col: str, marks: Marks | None = None) -> DataFrame:
+    row = spare(at.columns, "row")[0]
+    rows = at.numbered(row) if marks is None else at.pick(marks, row)
+    return rows.select(column(row).alias("row"), column(id_col).alias("id"), column(text_col).alias("text"))
 
 
 def _tokens(sigs: list[bytes]) -> np.ndarray:
@@ -152,38 +155,100 @@ def _postings(classes: DataFrame, prefix: int) -> DataFrame:
                 repeated = [pa.array(np.repeat(b.column(i).to_numpy(), prefix)) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(picked), *repeated], names=["token", "node", "n"])
 
-    return classes.select("node", "n", "sig").mapInArrow(run, "token long, node long, n long")
+    return classes.select("node", "n", "sig").mapInArrow(run, "token long, node long, n int")
+
+
+def _sigs(at: Located, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, n and signature of ``nodes``, picked where the signatures are read."""
+    marks = Marks(at, nodes, "node")
+    return marks.of(rows, "row").select(F.col("row").alias("node"), "n", "sig")
 
 
-def _near(pairs: DataFrame, classes: DataFrame, matches: int, percent: int) -> DataFrame:
-    """The pairs (f, a, b) whose sizes allow a link and whose signatures agree in ``matches`` places."""
-    side = lambda x: classes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"))
-    both = join_hot(pairs, side("a"), "a").join(side("b"), "b")
-    both = both.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+def _matrix(sigs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, COORDS)
+
+
+def _near(pairs: DataFrame, at: Located, rows: DataFrame, matches: int, percent: int) -> DataFrame:
+    """The pairs (f, a, b) whose sizes allow a link and whose signatures agree in ``matches`` places. ``pairs`` is written."""
+    sigs = materialize(_sigs(at, rows, _nodes(pairs)), "pair-sigs")
+    side = lambda x: sigs.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"))
+    both = join_hot(join_hot(pairs, side("a"), "a"), side("b"), "b", counted=pairs)
+    both = both.filter(100 * F.least("n_a", "n_b").cast("long") >= percent * F.greatest("n_a", "n_b").cast("long"))
 
     def agree(batches):
         for b in batches:
             if b.num_rows:
-                x = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, COORDS) for c in ("sig_a", "sig_b")]
-                hit = pa.array((x[0] == x[1]).sum(axis=1) >= matches)
+                x, y = (_matrix(b.column(c).to_pylist()) for c in ("sig_a", "sig_b"))
+                hit = pa.array((x == y).sum(axis=1) >= matches)
                 yield pa.RecordBatch.from_arrays([b.column(c).filter(hit) for c in "fab"], names=["f", "a", "b"])
 
-    return materialize(both.select("f", "a", "b", "sig_a", "sig_b").mapInArrow(agree, "f long, a long, b long"), "near-pairs")
+    return both.select("f", "a", "b", "sig_a", "sig_b").mapInArrow(agree, "f long, a long, b long")
 
 
-def _nodes(near: DataFrame) -> DataFrame:
-    return near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+def _near_in_blocks(members: DataFrame, at: Located, rows: DataFrame, matches: int, percent: int) -> DataFrame:
+    """Near pairs (f, a, b) of long lists: members outside the main component against all others, by signature.
 
+    ``members``: token, node, c, main; written. Each side of a list is dealt to blocks of about ``BLOCK`` members,
+    and a task compares one block of a list with another.
+    """
+    out = F.col("c") != F.col("main")
+    blocks = members.groupBy("token").agg(
+        F.ceil(F.sum(out.cast("int")) / BLOCK).cast("int").alias("nl"), F.ceil(F.count("*") / BLOCK).cast("int").alias("nr")
+    )
+    sigs = materialize(_sigs(at, rows, members.select("node").distinct()), "block-sigs")
+    named = materialize(join_hot(members, blocks, "token"), "block-members")
+    full = join_hot(named, sigs, "node").withColumn("deal", F.xxhash64("node"))
+    grid = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = full.filter(out).withColumns({"i": F.pmod("deal", "nl").cast("int"), "side": F.lit(0)}).withColumn("j", grid("nr"))
+    right = full.withColumns({"j": F.pmod("deal", "nr").cast("int"), "side": F.lit(1)}).withColumn("i", grid("nl"))
+    spread = left.unionByName(right).select("token", "i", "j", "side", "node", "c", "main", "n", "sig")
+    spread = spread.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "side")
+
+    def run(batches):
+        block, held = None, []
+        lx = None
+        for b in batches:
+            keys = list(zip(*(b.column(c).to_pylist() for c in ("token", "i", "j", "side"))))
+            edges = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+            for s, e in zip(edges, edges[1:]):
+                if s == e:
+                    continue
+                part = b.slice(s, e - s)
+                if keys[s][:3] != block:
+                    block, held = keys[s][:3], []
+                if keys[s][3] == 0:
+                    held.append(part)
+                    lx = None
+                    continue
+                if not held:
+                    continue
+                if lx is None:
+                    t = pa.Table.from_batches(held)
+                    lx = [t.column(c).to_numpy() for c in ("node", "c", "n")] + [_matrix(t.column("sig").to_pylist())]
+                for k in range(0, e - s, 64):
+                    yield _block(lx, part.slice(k, 64), matches, percent)
+
+    return spread.mapInArrow(run, "f long, a long, b long").distinct()
+
+
+def _block(left: list, part: pa.RecordBatch, matches: int, percent: int) -> pa.RecordBatch:
+    node, c, n, sig = left
+    y_node, y_c, y_n, main = (part.column(x).to_numpy() for x in ("node", "c", "n", "main"))
+    y_sig = _matrix(part.column("sig").to_pylist())
+    fit = (c[:, None] != y_c) & ((y_c == main) | (node[:, None] < y_node))
+    low, high = np.minimum(n[:, None], y_n), np.maximum(n[:, None], y_n)
+    x, y = np.nonzero(fit & (100 * low.astype(np.int64) >= percent * high.astype(np.int64)))
+    hit = (sig[x] == y_sig[y]).sum(axis=1) >= matches if len(x) else np.empty(0, bool)
+    x, y = x[hit], y[hit]
+    return pa.RecordBatch.from_arrays([pa.array(main[y]), pa.array(node[x]), pa.array(y_node[y])], names=["f", "a", "b"])
 
-def _texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One text of each class in ``nodes``."""
-    keys = materialize(nodes.join(classes.select("node", "key", "bytes"), "node"), "near-keys")
-    found = keyed_text(docs, id_col, text_col).drop("id").join(small_side(keys), ["key", "bytes"])
-    return materialize(found.select("node", "text").dropDuplicates(["node"]), "near-texts")
+
+def _nodes(near: DataFrame) -> DataFrame:
+    return near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
 
 
-def _confirm(near: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked on their full sets.
+def _confirm(near: DataFrame, at: Located, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """The pairs (a, b) that are linked on their full sets. ``near`` is written.
 
     Pairs are gathered by family ``f``. Up to about ``LEFTS`` left texts of a family share a block, each right
     text goes to a block once however many of them it is compared with, and blocks are cut into chunks of about
@@ -199,15 +264,17 @@ def _confirm(near: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     right = join_hot(rights, chunks, "k").select("k", chunk.alias("chunk"), F.col("b").alias("node"), "lefts")
     left = rights.select("k", F.explode("lefts").alias("node")).distinct().join(chunks, "k")
     left = left.select("k", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "node", F.lit(None).cast("array<bigint>").alias("lefts"))
-    rows = left.unionByName(right).join(texts, "node")
+    places = materialize(left.unionByName(right), "near-places")
+    texts = _texts(at, id_col, text_col, Marks(at, places.select("node").distinct(), "node")).select(F.col("row").alias("node"), "text")
+    rows = join_hot(places, texts, "node", most=1 << 14, least=CHUNKS)
 
     def compare(batches):
-        at, own = None, {}
+        block, own = None, {}
         for batch in sliced(batches):
             a_out, b_out = [], []
             for k, c, node, lefts, text in zip(*(batch.column(x).to_pylist() for x in ("k", "chunk", "node", "lefts", "text"))):
-                if at != (k, c):
-                    at, own = (k, c), {}
+                if block != (k, c):
+                    block, own = (k, c), {}
                 s = shingle_set(text)
                 if lefts is None:
                     own[node] = s
@@ -222,101 +289,103 @@ def _confirm(near: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return materialize(ordered.select("k", "chunk", "node", "lefts", "text").mapInArrow(compare, "a long, b long"), "near-links")
 
 
+def _members(listed: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (token, node, n, c, main) of the lists that span components: of short lists, and of long ones.
+
+    ``main`` is the component of a list's lowest member, ``c`` a member's own.
+    """
+    labelled = listed.join(comps.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    labelled = materialize(labelled, "labelled")
+    main = F.max(F.when(F.col("node") == F.col("head"), F.col("c"))).alias("main")
+    short = labelled.filter(F.col("size") <= BIG).groupBy("token").agg(
+        F.min("c").alias("lo"), F.max("c").alias("hi"), main, F.collect_list(F.struct("node", "c", "n")).alias("all")  # at most BIG
+    )
+    long = labelled.filter(F.col("size") > BIG).select("token", "node", "c", "head")
+    mains = long.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), main).filter("lo <> hi")
+    long = materialize(join_hot(long.drop("head"), mains.select("token", "main"), "token"), "long-lists")
+    return short.filter("lo <> hi").select("all", "main"), long
+
+
+def _collisions(short: DataFrame, percent: int) -> DataFrame:
+    """Pairs (f, a, b) of different components that meet in ``COMMON`` short lists."""
+    # A list gives a pair once: an outside member with one of the main component, or with a higher outside one.
+    outside = short.select("all", "main", F.explode(F.filter("all", lambda m: m["c"] != F.col("main"))).alias("x"))
+    met = outside.select("main", "x", F.explode("all").alias("y")).filter(
+        (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("main")) | (F.col("x.node") < F.col("y.node")))
+        & (100 * F.least("x.n", "y.n").cast("long") >= percent * F.greatest("x.n", "y.n").cast("long"))
+    )
+    return (
+        met.groupBy(F.least("x.node", "y.node").alias("lo"), F.greatest("x.node", "y.node").alias("hi"))
+        .agg(F.count("*").alias("met"), F.min("main").alias("f"), F.min("x.node").alias("a"))
+        .filter(F.col("met") >= COMMON)
+        .select("f", "a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
+    )
+
+
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, matches: int = MATCHES
+    docs: DataFrame | Located, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, matches: int = MATCHES
 ) -> DataFrame:
-    """``row``, ``key``, ``bytes``, ``id_col``, ``n_shingles``, ``component_id``, ``kept`` and ``first_row`` of every row.
+    """``row`` (its number in the table), ``id_col``, ``n_shingles``, ``component_id``, ``kept`` and ``first_row`` of every row.
 
     ``kept``: the id is its component's smallest. ``first_row``: exactly one row of each component.
     ``matches`` trades posted pairs for recall; 22 of 48 misses a pair at 75 % less than once in 100,000.
     """
-    rows = materialize(signed(docs, id_col, text_col), "signatures")
+    at = docs if isinstance(docs, Located) else Located(docs)
+    rows = materialize(signed(at, id_col, text_col), "signatures")
     full = rows.filter("n > 0")
-    heads = full.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.min("id").alias("least_id"))
-    classes = materialize(
-        heads.join(full.select(F.col("row").alias("node"), "key", "bytes", "n", "sig"), "node"), "classes"
-    )
+    # Sets of equal hashes are one class, known by its first row.
+    heads = materialize(full.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.min("id").alias("least_id")), "heads")
+    classes = Marks(at, heads, "node").of(full, "row").withColumnRenamed("row", "node")
     posts = materialize(_postings(classes, COORDS - matches + COMMON), "postings")
     lists = posts.groupBy("token").agg(F.min("node").alias("head"), F.count("*").alias("size")).filter("size > 1")
-    listed = materialize(join_hot(posts, lists.select("token", "head"), "token"), "lists")
+    listed = materialize(join_hot(posts, lists, "token"), "lists")
     discard(posts)
-    stars = listed.filter("node <> head").select(F.col("head").alias("f"), F.col("head").alias("a"), F.col("node").alias("b"))
-    stars = materialize(stars.distinct(), "stars")
-    near = _near(stars, classes, matches, percent)
-    texts = _texts(_nodes(near), classes, docs, id_col, text_col)
-    links = _confirm(near, texts, percent)
+    # Copies and templates first: members that often meet the lowest one of their lists.
+    stars = listed.filter("node <> head").groupBy("head", "node").count().filter(F.col("count") >= COMMON)
+    stars = materialize(stars.select(F.col("head").alias("f"), F.col("head").alias("a"), F.col("node").alias("b")), "stars")
+    links = _confirm(materialize(_near(stars, at, rows, matches, percent), "near-pairs"), at, id_col, text_col, percent)
     comps = materialize(components(links), "labels")
 
-    # Members of lists that still span components.
-    labelled = listed.join(comps.withColumnRenamed("component", "c"), "node", "left")
-    labelled = materialize(labelled.withColumn("c", F.coalesce("c", "node")), "labelled")
+    # Lists that still span components.
+    short, long = _members(listed, comps)
+    cross = materialize(_collisions(short, percent), "cross")
     discard(listed)
-    mains = labelled.groupBy("token").agg(
-        F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.when(F.col("node") == F.col("head"), F.col("c"))).alias("main")
-    ).filter("lo <> hi")
-    members = materialize(join_hot(labelled.drop("head"), mains.select("token", "main"), "token"), "members")
-    outside = members.filter("c <> main").select("token", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), "main")
-    inside = members.select("token", F.col("node").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"))
-    # A list gives a pair once: an outside member with one of the main component, or with a higher outside one.
-    collided = outside.join(inside, "token").filter(
-        (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y")))
-        & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-    )
-    cross = (
-        collided.groupBy(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"))
-        .agg(F.count("*").alias("met"), F.min("main").alias("f"), F.min("x").alias("a"))
-        .filter(F.col("met") >= COMMON)
-        .select("f", "a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
-    )
-    done = stars.select("a", "b")
-    cross = cross.join(done, ["a", "b"], "left_anti").join(done.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    more = _near(materialize(cross.select("f", "a", "b"), "cross"), classes, matches, percent)
-    nodes = _nodes(more)
-    texts = texts.unionByName(_texts(nodes.join(texts.select("node"), "node", "left_anti"), classes, docs, id_col, text_col))
-    found = _confirm(more, texts, percent)
+    more = _near(cross, at, rows, matches, percent).unionByName(_near_in_blocks(long, at, rows, matches, percent))
+    more = more.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("f").alias("f"), F.min("a").alias("a"))
+    more = more.select("f", "a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
+    tested = stars.select("a", "b").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    more = materialize(more.join(tested, ["a", "b"], "left_anti"), "more-pairs")
+    found = _confirm(more, at, id_col, text_col, percent)
     if not found.isEmpty():
         comps = materialize(components(links.unionByName(found)), "labels2")
 
-    head_of = classes.select("node", "h1", "h2", "least_id").join(comps, "node", "left")
-    head_of = head_of.withColumn("component", F.coalesce("component", "node"))
-    by_comp = head_of.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    class_out = materialize(join_hot(materialize(head_of, "heads"), by_comp, "component").select("h1", "h2", "component", "component_id"), "class-ids")
-    slim = materialize(full.select("row", "id", "key", "bytes", "n", "h1", "h2", F.xxhash64("h1", "h2").alias("hh")), "slim")
-    named = join_hot(slim, class_out.select(F.xxhash64("h1", "h2").alias("hh"), F.col("h1").alias("_1"), F.col("h2").alias("_2"), "component", "component_id"), "hh").filter("h1 = _1 and h2 = _2")
-    named = named.select("row", "id", "key", "bytes", "n", "component", "component_id").unionByName(
-        rows.filter("n = 0").select("row", "id", "key", "bytes", "n", F.lit(None).cast("long").alias("component"), F.col("id").alias("component_id"))
-    )
+    named = heads.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = materialize(named.withColumn("hh", F.xxhash64("h1", "h2")), "named")
+    by_comp = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    of_class = materialize(join_hot(named, by_comp, "component").select("hh", F.col("h1").alias("_1"), F.col("h2").alias("_2"), "component", "component_id"), "class-ids")
+    slim = materialize(full.select("row", "id", "n", "h1", "h2", F.xxhash64("h1", "h2").alias("hh")), "slim")
+    out = join_hot(slim, of_class, "hh").filter("h1 = _1 and h2 = _2").select("row", "id", "n", "component", "component_id")
+    out = out.unionByName(rows.filter("n = 0").select("row", "id", "n", F.lit(None).cast("long").alias("component"), F.col("id").alias("component_id")))
     kept = F.col("id").eqNullSafe(F.col("component_id"))
-    firsts = named.filter(kept & F.col("component").isNotNull()).groupBy("component").agg(F.min("row").alias("first"))
-    return (
-        join_firsts(named, firsts)
-        .select("row", "key", "bytes", F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), (F.col("component").isNull() | F.col("row").eqNullSafe(F.col("first"))).alias("first_row"))
-    )
-
-
-def join_firsts(named: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Attach ``first`` where the row itself is its component's first: an equi-join on rows, never skewed."""
-    return named.join(firsts.select(F.col("first").alias("_f")), F.col("row") == F.col("_f"), "left").withColumn("first", F.col("_f")).drop("_f")
+    firsts = out.filter(kept & F.col("component").isNotNull()).groupBy("component").agg(F.min("row").alias("first")).select("first")
+    out = out.join(firsts, F.col("row") == F.col("first"), "left")
+    first = F.col("component").isNull() | F.col("first").isNotNull()
+    # With a clashing id name, ``row`` gives way.
+    row = spare([id_col, "n_shingles", "component_id", "kept", "first_row"], "row")[0]
+    return out.select(
+        F.col("row").alias(row), F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id", kept.alias("kept"), first.alias("first_row")
+    )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row of ``docs``, with its columns, for each component: the one of the smallest id.
 
-    Texts without words are all kept. Repeated rows, equal in id and text, are told apart only where
-    there are several.
+    Of several such rows, equal in id, the first of the table stays. Texts without words are all kept. The
+    rows that go are known by their numbers and left out where they are read.
     """
-    found = materialize(near_duplicates(docs, id_col, text_col, **how), "near-found")
-    copies = found.groupBy("key", "bytes").agg(
-        F.count("*").alias("_n"), F.max(F.col("first_row").cast("int")).alias("_first"), F.max(F.col("n_shingles") > 0).alias("_words")
-    )
-    kept = copies.filter("_first = 1").select("key", "bytes", ((F.col("_n") > 1) & F.col("_words")).alias("_several"))
-    kept = materialize(kept, "near-kept")
-    columns = docs.columns
-    keyed = docs.select(
-        *[F.col(c) for c in columns], F.xxhash64(F.col(id_col), F.col(text_col)).alias("__key"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("__bytes")
-    )
-    joined = keyed.join(small_side(kept), (F.col("__key") == kept["key"]) & (F.col("__bytes") == kept["bytes"]))
-    if not kept.filter("_several").isEmpty():
-        several = joined.filter("_several").dropDuplicates(["__key", "__bytes"])
-        joined = joined.filter("not _several").unionByName(several)
-    return joined.select(*columns)
+    at = Located(docs)
+    found = materialize(near_duplicates(at, id_col, text_col, **how), "near-found")
+    row = next(c for c in found.columns if c.endswith("row"))
+    name = spare(at.columns, "row")[0]
+    marks = Marks(at, found.filter("not first_row").select(F.col(row).alias(name)), name)
+    return at.pick(marks, name, on=False).select(*map(column, docs.columns))

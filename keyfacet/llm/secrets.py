@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfacet.llm.common import materialize, sliced, small_side
+from keyfacet.llm.common import Located, Marks, column, materialize, plain_scan, sliced, spare
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A
@@ -78,9 +78,8 @@ CANDIDATE = "struct<kind:string,start:int,end:int,hash:string,entropy:double,wid
 
 def scan(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """``keep`` and ``candidates``, an array of candidate structs, of every row."""
-    text_at = text_col
-    fields = [docs.schema[c] for c in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", candidates array<{CANDIDATE}>"
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", candidates array<{CANDIDATE}>"
+    text_at = list(dict.fromkeys([*keep, text_col])).index(text_col)
     kind = pa.list_(
         pa.struct(
             [("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("hash", pa.string()), ("entropy", pa.float64()), ("wide", pa.bool_())]
@@ -102,9 +101,9 @@ def scan(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     def run(batches):
         for b in sliced(batches):
             found = pa.array([candidates(t) for t in b.column(text_at).to_pylist()], kind)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), found], [*keep, "candidates"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), found], [*keep, "candidates"])
 
-    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
+    return docs.select(*map(column, dict.fromkeys([*keep, text_col]))).mapInArrow(run, schema)
 
 
 def ownership(cands: DataFrame, owner_col: str, repo_col: str, example_owners: int, example_repos: int) -> DataFrame:
@@ -132,7 +131,7 @@ def ownership(cands: DataFrame, owner_col: str, repo_col: str, example_owners: i
 
 
 def scan_secrets(
-    docs: DataFrame,
+    docs: DataFrame | Located,
     id_col: str = "doc_id",
     text_col: str = "text",
     owner_col: str = "source",
@@ -141,17 +140,19 @@ def scan_secrets(
     example_repos: int = 50,
     salts: int = 32,
 ) -> DataFrame:
-    """``id_col``, ``candidates`` (with ``verdict``, ``n_owners`` and ``n_repos``), ``row`` of every row.
+    """``id_col``, ``row`` (its number in the table) and ``candidates`` (with ``verdict``, ``n_owners`` and ``n_repos``) of every row.
 
     The candidates are written once as a table. Verdicts return to them by an equi-join; hashes
     used more than 10,000 times are salted on both sides, so no join task gets a whole hot hash.
     """
-    keep = list(dict.fromkeys([id_col, owner_col, repo_col]))
-    scanned = materialize(
-        scan(docs, text_col, keep).withColumn("row", F.monotonically_increasing_id()), "secrets"
+    at = docs if isinstance(docs, Located) else Located(docs)
+    numbered = at.numbered(spare(at.columns, "row")[0])
+    inner = numbered.select(
+        column(numbered.columns[-1]).alias("row"), column(id_col).alias("id"), column(owner_col).alias("owner"), column(repo_col).alias("repo"), column(text_col).alias("text")
     )
-    flat = scanned.select(*keep, "row", F.posexplode("candidates").alias("pos", "c")).select(*keep, "row", "pos", "c.*")
-    verdicts = ownership(flat, owner_col, repo_col, example_owners, example_repos)
+    scanned = materialize(scan(inner, "text", ["row", "id", "owner", "repo"]), "secrets")
+    flat = scanned.select("row", "owner", "repo", F.posexplode("candidates").alias("pos", "c")).select("row", "owner", "repo", "pos", "c.*")
+    verdicts = ownership(flat, "owner", "repo", example_owners, example_repos)
     hot = F.col("n_uses") > 10_000
     spread = verdicts.withColumn(
         "salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
@@ -166,8 +167,9 @@ def scan_secrets(
             F.collect_list(F.struct("pos", "kind", "start", "end", "hash", "entropy", "wide", "n_owners", "n_repos", "verdict"))
         ).alias("candidates")
     )
-    return scanned.drop("candidates").join(per_row, "row", "left").withColumn(
-        "candidates", F.coalesce("candidates", F.array().cast(per_row.schema["candidates"].dataType))
+    none = F.array().cast(per_row.schema["candidates"].dataType)
+    return scanned.select("id", "row").join(per_row, "row", "left").select(
+        F.col("id").alias(id_col), column("row").alias(spare([id_col, "candidates"], "row")[0]), F.coalesce("candidates", none).alias("candidates")
     )
 
 
@@ -180,21 +182,19 @@ def spans_text(col: F.Column) -> F.Column:
     return F.array_join(F.transform(col, lambda c: F.concat_ws(":", c["kind"], c["start"].cast("string"), c["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_copies_verdict: str = "example") -> DataFrame:
-    """Replace each span of ``docs`` that isn't judged a copied example by ``[kind]``.
+def redact(docs: DataFrame | Located, found: DataFrame, text_col: str = "text", stays: str = "example") -> DataFrame:
+    """Replace each span of ``docs`` that isn't judged ``stays``, a copied example, by ``[kind]``.
 
-    ``found``: rows of :func:`scan_secrets` keyed by ``id_col``; rows that share an id are matched
-    by text as well, since spans are recomputed from the row's own text and only the verdicts join.
+    ``found``: :func:`scan_secrets` of the same ``docs`` (as one :class:`~keyfacet.llm.common.Located` if they aren't
+    a plain scan of Parquet files). Only rows with such a span are shuffled; all others stay where they are read.
     """
-    live = (
-        found.select(F.col(id_col).alias("_id"), F.explode(spans()).alias("c"))
-        .filter(F.col("c.verdict") != max_copies_verdict)
-        .groupBy("_id")
-        .agg(F.collect_set("c.hash").alias("_live"))
-    )
-    live = materialize(live, "live")
-    columns = docs.columns
-    joined = docs.join(small_side(live), docs[id_col].eqNullSafe(live["_id"]), "left").select(*[docs[c] for c in columns], "_live")
+    if not isinstance(docs, Located) and not plain_scan(docs):
+        raise ValueError("rows of such a table have no lasting numbers: pass one Located to scan_secrets and redact")
+    at = docs if isinstance(docs, Located) else Located(docs)
+    row, hashes_col = spare(at.columns, "row", "hashes")
+    live = found.select(column(found.columns[1]).alias(row), F.filter(spans(), lambda c: c["verdict"] != stays)["hash"].alias(hashes_col))
+    live = materialize(live.filter(F.size(hashes_col) > 0), "live")
+    marks = Marks(at, live, row)
 
     @F.pandas_udf("string")
     def cut(texts, lives):
@@ -214,7 +214,6 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    touched = F.col("_live").isNotNull()
-    # Untouched rows send a null to Python instead of their text.
-    changed = F.when(touched, cut(F.when(touched, F.col(text_col)), F.col("_live"))).otherwise(F.col(text_col))
-    return joined.withColumn(text_col, changed).select(*columns)
+    dirty = at.pick(marks, row).join(live, row)
+    texts = {c: cut(column(c), F.col(hashes_col)).alias(c) if c == text_col else column(c) for c in at.columns}
+    return at.pick(marks, row, on=False).select(*map(column, at.columns)).unionByName(dirty.select(*texts.values()))

@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from keyfacet.llm import neardup
+from keyfacet.llm.common import Located, Marks
 
 
 def shingles(text):
@@ -62,12 +63,64 @@ def test_chains_and_families(spark):
 
 
 def test_keep_one_row_of_each_component(spark, edge_docs):
+    edge_docs = edge_docs.withColumns({c: F.lit(1) for c in ("key", "bytes", "row", "_several", "__key", "__no", "node")})
     kept = neardup.keep_one(edge_docs)
     assert kept.columns == edge_docs.columns
     ids = sorted((r["doc_id"] for r in kept.collect()), key=lambda x: (x is None, x))
     assert ids == [1, 4, 5, 6, 7, 8, 10, 11, 12, 13, 15, 16, 17]
 
 
+def test_long_lists_are_compared_in_blocks(spark, monkeypatch):
+    """Distinct documents that share one template of half their words: lists of hundreds, few links."""
+    monkeypatch.setattr(neardup, "BLOCK", 50)
+    rng, template = np.random.default_rng(8), [f"t{i}" for i in range(60)]
+    rows = [(i, " ".join(template + [f"o{i}_{k}" for k in range(60)])) for i in range(240)]
+    for i in range(240, 280):  # close to one of them
+        words = rows[int(rng.integers(0, 240))][1].split()
+        for k in rng.integers(0, 120, int(rng.integers(1, 25))):
+            words[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(words)))
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(tuple(r) for r in found.select("doc_id", "n_shingles", "component_id").collect())
+    assert got == sorted(brute(rows))
+
+
+def test_block_of_a_license(spark):
+    """A third of all rows hold one passage of 40 words and nothing else in common: all stay."""
+    text = lambda i: f"own{i} " + " ".join(f"w{i}_{k}" for k in range(60)) + (" " + " ".join(f"lic{k}" for k in range(40)) if i % 3 == 0 else "")
+    docs = spark.createDataFrame([(i, text(i)) for i in range(6000)], "doc_id long, text string")
+    assert neardup.keep_one(docs).count() == 6000
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of 75 to 80 %: all are found."""
+    rng, rows, want = np.random.default_rng(4), [], 0
+    for i in range(300):
+        words = [f"p{i}_{k}" for k in range(200)]
+        other = list(words)
+        for k in rng.choice(np.arange(0, 200, 4), int(rng.integers(11, 16)), replace=False):
+            other[k] = f"q{i}_{k}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        want += 100 * len(a & b) >= 75 * len(a | b)
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert want > 100 and found.filter("not kept").count() == want
+
+
+def test_rows_are_marked_by_groups_of_files(spark, tmp_path):
+    spark.range(20_000).repartition(5).withColumnsRenamed({"id": "doc_id"}).withColumns({"__no": F.lit(1), "row": F.lit(2), "chunk": F.lit(3)}).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    at = Located(docs.filter("doc_id % 2 = 0"))
+    assert at.docs.sameSemantics(docs.filter("doc_id % 2 = 0"))
+    chosen = at.numbered("_row").filter("doc_id % 3 = 0")
+    for most in (1, 1000):
+        marks = Marks(at, chosen, "_row", most=most)
+        assert marks.groups > 1 or most > 1
+        on, off = ({r[0] for r in at.pick(marks, "_row", keep).select("doc_id").collect()} for keep in (True, False))
+        assert on == set(range(0, 20_000, 6)) and off == set(range(0, 20_000, 2)) - on
+        assert {r[0] for r in marks.of(at.numbered("_row"), "_row").select("doc_id").collect()} == on
+
+
 def test_empty(spark, empty_docs):
     assert neardup.near_duplicates(empty_docs).count() == 0
     assert neardup.keep_one(empty_docs).count() == 0

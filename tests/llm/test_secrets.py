@@ -1,10 +1,12 @@
 import hashlib
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from llm_fixtures import prose
 from keyfacet.llm import secrets
+from keyfacet.llm.common import Located
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -46,15 +48,20 @@ def test_hot_value_is_salted(spark):
 
 def test_redaction(spark, edge_docs):
     rows = [(1, "a password=hunter2hunter2 b", "s", "x"), (2, "clean", "s", "x"), (3, None, "s", "x"), (1, "a password=hunter2hunter2 b", "s", "x"), (4, "hex " + "0123456789abcdef" * 2, "t", "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, candidates string")
-    out = secrets.redact(docs, secrets.scan_secrets(docs))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, candidates string").withColumns({"row": F.lit(1), "_live": F.lit(2), "hashes": F.lit(3)})
+    at = Located(docs)
+    out = secrets.redact(at, secrets.scan_secrets(at))
     assert out.columns == docs.columns
     assert sorted((r["doc_id"], r["text"]) for r in out.collect() if r["text"]) == [(1, "a [assign] b"), (1, "a [assign] b"), (2, "clean"), (4, "hex [hex]")]
-    same = secrets.redact(edge_docs, secrets.scan_secrets(edge_docs))
+    at = Located(edge_docs)
+    same = secrets.redact(at, secrets.scan_secrets(at))
+    with pytest.raises(ValueError):
+        secrets.redact(docs, secrets.scan_secrets(docs))
     digest = lambda d: sorted(hashlib.md5(str(tuple(r)).encode()).hexdigest() for r in d.collect())
     assert digest(same) == digest(edge_docs)
 
 
 def test_empty(spark, empty_docs):
     assert secrets.scan_secrets(empty_docs).count() == 0
-    assert secrets.redact(empty_docs, secrets.scan_secrets(empty_docs)).count() == 0
+    at = Located(empty_docs)
+    assert secrets.redact(at, secrets.scan_secrets(at)).count() == 0
