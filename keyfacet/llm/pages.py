@@ -1,18 +1,20 @@
-"""Main text of HTML pages: content containers first, nearest-URL page differencing for the rest.
+"""Main text of HTML pages by nearest-URL page differencing, with content containers as a guard.
 
-A page is read into lines, one a block, without scripts, styles, forms and the elements that name
-themselves as menus, headers, footers, sidebars, notices, adverts or comments. If it has a content
-container (``article``, ``main``), the lines inside are its text. Otherwise the page is paired with the
-page of the nearest URL path on its host that has other lines, the lines of both are aligned by their
+A page is read into lines, one a block, without scripts, styles and other raw elements. Each page is paired with
+the page of the nearest URL path on its host that has other lines, the lines of both are aligned by their
 longest common subsequence, and the shared lines, the template, are deleted. Copies, pages with equal
-lines that are neighbours by URL, are paired as one page: none is the template of another.
+lines that are neighbours by URL, are paired as one page: none is the template of another. Pages without lines are no neighbours.
 
-Differencing alone would be wrong for pages with a container: their menus differ from page to page,
-while titles and paragraphs recur on neighbouring pages and would be deleted.
+Two guards correct what differencing alone gets wrong. Lines inside a content container (``article``, ``main``)
+are protected: titles and paragraphs recur on neighbouring pages. Lines of elements that name
+themselves as menus, headers, footers, sidebars, notices, adverts, forms or comments go even where no other page
+shares them, and so do lines outside the container of a page that has one. ``guard=False`` shows differencing alone.
 
-Defined results: null or empty html gives the empty text; a page without container and without another such
-page of other lines on its host keeps all its lines; equal URLs pair with each other if their lines
-differ; repeated rows give repeated rows.
+Only numbers travel between pages: alignment compares hashes of lines.
+
+Defined results: null or empty html gives the empty text; a page without container and without another
+page of other lines on its host keeps all its lines but those of named elements; equal URLs pair with each
+other if their lines differ; repeated rows give repeated rows; an empty table gives no rows; other columns don't count.
 """
 
 from __future__ import annotations
@@ -20,12 +22,13 @@ from __future__ import annotations
 import re
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfacet.llm.common import join_hot, materialize, sliced
+from keyfacet.llm.common import column, join_hot, materialize, sliced
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""",
@@ -66,12 +69,15 @@ def _dropped(name: str, attrs: str, inside: bool) -> bool:
     return False
 
 
-def page_lines(html: str) -> tuple[list[str], list[str], bool]:
-    """Lines inside content containers, all other lines that may be content, and whether there is a container."""
-    main: list[str] = []
-    other: list[str] = []
+#: Where a line is: in an element that names itself as something other than content, nowhere special, in a container.
+NAMED, PLAIN, INSIDE = 0, 1, 2
+
+
+def page_lines(html: str) -> list[tuple[int, str]]:
+    """Place and text of every line, in page order."""
+    lines: list[tuple[int, str]] = []
     part: list[str] = []
-    inside, found, at = 0, False, 0
+    inside, at = 0, 0
     skip, depth = "", 0
 
     def flush() -> None:
@@ -79,13 +85,13 @@ def page_lines(html: str) -> tuple[list[str], list[str], bool]:
             line = " ".join("".join(part).split())
             part.clear()
             if line:
-                (main if inside else other).append(line)
+                lines.append((NAMED if skip else INSIDE if inside else PLAIN, line))
 
     pos, n = 0, len(html)
     while pos < n:
         m = TOKEN.search(html, pos)
         end = m.start() if m else n
-        if end > at and not skip:
+        if end > at:
             part.append(unescape(html[at:end]))
         if not m:
             break
@@ -106,10 +112,15 @@ def page_lines(html: str) -> tuple[list[str], list[str], bool]:
             opens_content = name in ("article", "main") and not close and not _dropped(name, attrs, False)
             ends_paragraph = skip == "p" and not close and name in BLOCKS
             if depth <= 0 or opens_content or ends_paragraph or close and inside and name in ("article", "main"):
+                flush()
                 skip = ""
                 if depth <= 0:
                     continue
             else:
+                if name in BLOCKS:
+                    flush()
+                elif name == "br":
+                    part.append(" ")
                 continue
         if name in BLOCKS:
             flush()
@@ -122,58 +133,104 @@ def page_lines(html: str) -> tuple[list[str], list[str], bool]:
             flush()
             skip, depth = name, 1
         elif name in ("article", "main"):
-            inside, found = inside + 1, True
+            inside += 1
     flush()
-    return main, other, found
+    return lines
+
 
+WHOLE = 1 << 28
 
-def shared_lines(a: list[str], b: list[str]) -> list[bool]:
-    """Which lines of ``a`` belong to a longest common subsequence with ``b``; bit-parallel rows."""
-    places: dict[str, int] = {}
+
+def shared_lines(a: list, b: list) -> list[bool]:
+    """Which lines of ``a`` belong to a longest common subsequence with ``b``.
+
+    Up to ``WHOLE`` cells the table is kept, a bit a cell; beyond that ``a`` is halved where the halves' lengths
+    fit together best, so memory stays linear.
+    """
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    if len(x) > 1 and len(x) * len(y) > WHOLE:
+        half = len(x) // 2
+        sums = _lengths(x[:half], y) + _lengths(x[:half - 1 : -1], y[::-1])[::-1]
+        at = int(np.argmax(sums))
+        middle = shared_lines(x[:half], y[:at]) + shared_lines(x[half:], y[at:])
+    else:
+        middle = _whole(x, y)
+    return [True] * head + middle + [True] * tail
+
+
+def _rows(a: list, b: list):
+    """Bit rows of the table: a clear bit j in a row marks a place of ``b`` where the length grows."""
+    places: dict = {}
     for j, line in enumerate(b):
         places[line] = places.get(line, 0) | 1 << j
-    mask, v, rows = (1 << len(b)) - 1, (1 << len(b)) - 1, []
+    v = mask = (1 << len(b)) - 1
     for line in a:
-        rows.append(v)
         u = v & places.get(line, 0)
         v = (v + u | v - u) & mask
-    rows.append(v)
+        yield v
+
+
+def _lengths(a: list, b: list) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` and each beginning of ``b``."""
+    v = (1 << len(b)) - 1
+    for v in _rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _whole(a: list, b: list) -> list[bool]:
+    rows = [(1 << len(b)) - 1, *_rows(a, b)]
     out, j = [False] * len(a), len(b)
-    # A clear bit in row i marks a column where the length grows: walk back along them.
     length = lambda i, j: (~rows[i] & (1 << j) - 1).bit_count()
-    for i in range(len(a), 0, -1):
+    for i in range(len(a), 0, -1):  # walk back along the places where the length grows
         here = length(i, j)
         if not here:
             break
         if length(i - 1, j) == here:
             continue
-        while places.get(a[i - 1], 0) >> j - 1 & 1 == 0 or length(i - 1, j - 1) != here - 1:
+        while b[j - 1] != a[i - 1] or length(i - 1, j - 1) != here - 1:
             j -= 1
         out[i - 1] = True
         j -= 1
     return out
 
 
-def difference(own: list[str], near: list[str]) -> list[str]:
-    return [line for line, shared in zip(own, shared_lines(own, near)) if not shared]
+def guarded(places: list[int], shared: list[bool]) -> list[bool]:
+    """Which lines are the text, given their places and which of them the nearest page shares."""
+    if INSIDE in places:
+        return [p == INSIDE for p in places]
+    return [p == PLAIN and not s for p, s in zip(places, shared)]
+
 
+def parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str, guard: bool = True) -> DataFrame:
+    """Id and URL; ``text`` if no line is shared; hashes and places of all lines; the lines that sharing can change."""
+    import xxhash
 
-def parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """Id, URL, text, and for pages without a container their lines."""
-    schema = f"id {pages.schema[id_col].dataType.simpleString()}, url string, text string, lines array<string>"
+    schema = f"id {pages.schema[id_col].dataType.simpleString()}, url string, text string, hashes binary, places binary, lines array<string>"
 
     def run(batches):
         for b in sliced(batches):
-            texts, lines = [], []
+            texts, hashes, places, open_lines = [], [], [], []
             for html in b.column("html").to_pylist():
-                main, other, found = page_lines(html or "")
-                texts.append("\n".join(main if found else other))
-                lines.append(None if found or not other else other)
+                found = page_lines(html or "")
+                at, lines = [p if guard else PLAIN for p, _ in found], [line for _, line in found]
+                texts.append("\n".join(line for line, keep in zip(lines, guarded(at, [False] * len(at))) if keep))
+                hashes.append(b"".join(xxhash.xxh3_64_digest(line.encode("utf-8", "surrogatepass")) for line in lines))
+                places.append(bytes(at))
+                open_lines.append(None if INSIDE in at or PLAIN not in at else lines)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("url"), pa.array(texts, pa.string()), pa.array(lines, pa.list_(pa.string()))], names=["id", "url", "text", "lines"]
+                [b.column("id"), b.column("url"), pa.array(texts, pa.string()), pa.array(hashes, pa.binary()), pa.array(places, pa.binary()), pa.array(open_lines, pa.list_(pa.string()))],
+                names=["id", "url", "text", "hashes", "places", "lines"],
             )
 
-    return pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html")).mapInArrow(run, schema)
+    return pages.select(column(id_col).alias("id"), column(url_col).cast("string").alias("url"), column(html_col).alias("html")).mapInArrow(run, schema)
 
 
 def url_key(url: str = "url") -> tuple[F.Column, F.Column]:
@@ -217,11 +274,14 @@ def _runs(keys: DataFrame) -> DataFrame:
     return ranged.join(F.broadcast(starts), "part").select("row", "host", "path", (F.col("start") + F.col("run")).alias("run"))
 
 
-def template_free(open_pages: DataFrame) -> DataFrame:
-    """``row`` and ``text`` of pages without container: lines that the nearest page of other lines on the host lacks."""
+def differenced(read: DataFrame) -> DataFrame:
+    """``row`` and ``shared``, a byte a line: whether the nearest page of other lines on the host shares it.
+
+    ``read``: row, url and hashes of pages with lines; written.
+    """
     host, path = url_key()
-    same = F.sha2(F.concat_ws("\n", "lines"), 256)  # no line holds a line break
-    rows = materialize(_runs(open_pages.select("row", host.alias("host"), path.alias("path"), same.alias("same"))), "url-runs")
+    same = F.sha2("hashes", 256)
+    rows = materialize(_runs(read.select("row", host.alias("host"), path.alias("path"), same.alias("same"))), "url-runs")
     page = F.struct("path", "row")
     runs = materialize(rows.groupBy("run").agg(F.min("host").alias("host"), F.min(page).alias("first"), F.max(page).alias("last")), "url-places")
     side = lambda name, step, end: runs.select(
@@ -232,17 +292,20 @@ def template_free(open_pages: DataFrame) -> DataFrame:
     up, down = prefix("up", "first"), prefix("down", "last")
     near = F.when((up >= down) & (up >= 0), F.col("up_row")).when(down >= 0, F.col("down_row"))
     pairs = both.select("run", F.col("first.row").alias("row"), near.alias("near"))
-    lines = open_pages.select("row", "lines")
-    paired = pairs.join(lines, "row").join(lines.select(F.col("row").alias("near"), F.col("lines").alias("near_lines")), "near", "left")
+    hashes = read.select("row", "hashes")
+    paired = pairs.join(hashes, "row").join(hashes.select(F.col("row").alias("near"), F.col("hashes").alias("near_hashes")), "near", "left")
 
     def run(batches):
         for b in batches:
-            own, other = b.column("lines").to_pylist(), b.column("near_lines").to_pylist()
-            texts = ["\n".join(difference(x, y or [])) for x, y in zip(own, other)]
-            yield pa.RecordBatch.from_arrays([b.column("run"), pa.array(texts, pa.string())], names=["run", "text"])
+            out = [bytes(shared_lines(_cut(x), _cut(y or b""))) for x, y in zip(b.column("hashes").to_pylist(), b.column("near_hashes").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("run"), pa.array(out, pa.binary())], names=["run", "shared"])
+
+    shared = materialize(paired.select("run", "hashes", "near_hashes").mapInArrow(run, "run long, shared binary"), "url-shared")
+    return join_hot(rows.select("row", "run"), shared, "run").select("row", "shared")
 
-    texts = materialize(paired.select("run", "lines", "near_lines").mapInArrow(run, "run long, text string"), "url-texts")
-    return join_hot(rows.select("row", "run"), texts, "run").select("row", "text")
+
+def _cut(hashes: bytes) -> list[bytes]:
+    return [hashes[i : i + 8] for i in range(0, len(hashes), 8)]
 
 
 def _common(a: F.Column, b: F.Column) -> F.Column:
@@ -253,11 +316,29 @@ def _common(a: F.Column, b: F.Column) -> F.Column:
     return F.when(first == 0, F.size(same) + 1).otherwise(first - 1).cast("int")
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``id_col``, ``url_col``, ``text`` and ``n_chars`` of every page."""
-    read = materialize(parsed(pages, id_col, url_col, html_col).withColumn("row", F.monotonically_increasing_id()), "pages")
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", guard: bool = True) -> DataFrame:
+    """``id_col``, ``url_col``, ``text`` and ``n_chars`` of every page; without ``guard``, all lines that aren't shared.
+
+    Texts stay where they are read, but those of pages without container that share lines.
+    """
+    read = materialize(parsed(pages, id_col, url_col, html_col, guard).withColumn("row", F.monotonically_increasing_id()), "pages")
+    shared = differenced(read.filter(F.length("hashes") > 0).select("row", "url", "hashes"))
+    cut = read.filter("lines is not null").select("row", "id", "url", "places", "lines").join(shared, "row")
+
+    def run(batches):
+        for b in batches:
+            texts = []
+            for lines, places, same in zip(*(b.column(c).to_pylist() for c in ("lines", "places", "shared"))):
+                texts.append("\n".join(line for line, keep in zip(lines, guarded(list(places), list(same))) if keep))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(texts, pa.string())], names=["id", "url", "text"])
+
     done = read.filter("lines is null").select("id", "url", "text")
-    open_pages = read.filter("lines is not null").select("row", "id", "url", "lines")
-    if not open_pages.isEmpty():
-        done = done.unionByName(open_pages.drop("lines").join(template_free(open_pages), "row").select("id", "url", "text"))
+    done = done.unionByName(cut.mapInArrow(run, done.schema))
     return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def shared_share(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """One row: ``pages`` and ``touched``, how many of them share a line with the nearest page."""
+    read = materialize(parsed(pages, id_col, url_col, html_col).withColumn("row", F.monotonically_increasing_id()), "pages")
+    hit = F.col("shared").cast("binary") != F.expr("cast(repeat(char(0), length(shared)) as binary)")
+    return differenced(read.filter(F.length("hashes") > 0).select("row", "url", "hashes")).agg(F.count("*").alias("pages"), F.sum(hit.cast("long")).alias("touched"))

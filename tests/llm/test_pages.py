@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from keyfacet.llm import pages
@@ -9,17 +12,51 @@ FULL = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <section class="comments"><p>hello</p></section><footer>&copy; x</footer></body></html>"""
 
 
+def texts_of(html, place=pages.INSIDE):
+    return [line for p, line in pages.page_lines(html) if p == place]
+
+
 def test_article():
-    main, other, found = pages.page_lines(FULL)
-    assert found and main == ["Title & more", "One bold text here <x> a < b", "Two three", "four", "i1", "i2"]
+    assert texts_of(FULL) == ["Title & more", "One bold text here <x> a < b", "Two three", "four", "i1", "i2"]
 
 
 def test_broken_markup():
-    assert pages.page_lines("<article><p>a<nav>menu<article><p>b</article>")[0] == ["a", "b"]
-    assert pages.page_lines("<p>a <a href='x>unclosed</p><p>b")[1]
-    assert pages.page_lines("<script>never closed <p>x")[:2] == ([], [])
-    assert pages.page_lines("plain &amp; simple")[1] == ["plain & simple"]
-    assert pages.page_lines("<div " + "a='" * 20_000)[2] is False
+    assert texts_of("<article><p>a<nav>menu<article><p>b</article>") == ["a", "b"]
+    assert texts_of("<p>a <a href='x>unclosed</p><p>b", pages.PLAIN)
+    assert pages.page_lines("<script>never closed <p>x") == []
+    assert pages.page_lines("plain &amp; simple") == [(pages.PLAIN, "plain & simple")]
+    assert texts_of("<div " + "a='" * 20_000) == []
+    assert pages.page_lines("<nav><ul><li>a</li><li>b<br>c</li></ul></nav>d") == [(pages.NAMED, "a"), (pages.NAMED, "b c"), (pages.PLAIN, "d")]
+
+
+def lcs(a, b):
+    """Length of the longest common subsequence, by the plain table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("whole", [pages.WHOLE, 0])
+def test_alignment_against_the_plain_table(monkeypatch, whole):
+    monkeypatch.setattr(pages, "WHOLE", whole)
+    rng = random.Random(2)
+    for _ in range(1500):
+        a, b = ([rng.choice("abcde"[: rng.randrange(1, 6)]) for _ in range(rng.randrange(0, 14))] for _ in range(2))
+        own = [x for x, s in zip(a, pages.shared_lines(a, b)) if s]
+        assert len(own) == lcs(a, b) and lcs(own, b) == len(own)
+
+
+def test_differencing_alone(spark):
+    """Without the guards, shared lines of a container go as well and unshared named lines stay."""
+    html = lambda own, menu: f"<nav><li>{menu}</li></nav><article><h1>Same</h1><p>{own}</p></article><footer>Foot</footer>"
+    df = spark.createDataFrame([(k, f"http://b.org/{k}", html(f"own {k}", f"menu {k}")) for k in range(3)], "page_id long, url string, html string")
+    assert {r["text"] for r in pages.main_text(df).collect()} == {f"Same\nown {k}" for k in range(3)}
+    assert {r["text"] for r in pages.main_text(df, guard=False).collect()} == {f"menu {k}\nown {k}" for k in range(3)}
+    assert tuple(pages.shared_share(df).first()) == (3, 3)
 
 
 def test_pages_and_nearest_url(spark):
