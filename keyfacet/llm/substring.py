@@ -2,36 +2,39 @@
 
 A window is ``size`` consecutive words. Every run of equal windows holds the same minimizer, the least
 hash among the short grams inside the window, so two documents that share a window share
-its fingerprint. The index keeps those fingerprints (about two of nine words) in sorted immutable
-runs, one a batch. A new batch becomes a run that is merge-joined with the runs before it, bucket by
-bucket; only windows around fingerprints that another document has too are compared, by 96 bits
-of their own hashes. Runs of one level are compacted into one of the next.
-
-A window is removed from a document if a document of a smaller id has it. Whole copies of a text
-are settled by the text's hash, without comparing their windows. What a task can settle among its
-own rows doesn't travel.
-
-Defined results: null, empty and short texts lose nothing; rows with a null id lose nothing and count for
-no one; rows that share an id are one document to the rule (neither takes from the other).
+its fingerprint. The index keeps the fingerprints of windows that no earlier document had (about two of nine
+words) in sorted immutable runs, one a batch. A batch's own run is merge-joined with the runs before it,
+bucket by bucket; only windows around fingerprints that another document has too are compared, by 96
+bits of their own hashes, and only the texts of such documents travel: of the batch's, and of earlier ones
+that own a fingerprint. All others are settled where they are read. Runs of one level are compacted into one of the next.
+
+A window is removed from a document if a document of a smaller id has it; batches come in the order of ids.
+Whole copies of a text are settled by the text's hash, without fingerprints. What a task can settle among
+its own rows doesn't travel.
+
+Defined results: ids are whole numbers (others are an error); null, empty and short texts lose nothing; rows
+with a null id lose nothing and count for no one; rows that share an id are one document to the rule (neither
+takes from the other); an empty table gives no rows; columns besides id and text don't count.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from keyfacet.llm.common import discard, gathered, materialize, mix64, sliced, word_hashes, words_of
+from keyfacet.llm.common import Located, Marks, column, gathered, join_hot, materialize, mix64, shared_dir, sliced, spare, word_hashes, words_of
 
 SIZE, GRAM = 13, 6
 BATCH = 10_000
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 64 << 20
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 RUN = "bucket int, fps binary, docs binary"
+NEW, MANY, OLD = np.uint8(0), np.uint8(1), np.uint8(2)
 
 
 def window_hashes(h: np.ndarray, size: int, prime: np.uint64) -> np.ndarray:
@@ -94,11 +97,11 @@ def _merge_rows(df: DataFrame, n: int, merge, schema: str, *names: str) -> DataF
         if held:
             yield from merge(at, [b"".join(x) for x in zip(*held)])
 
-    return df.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return df.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
-def make_run(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
-    """The run of a batch: sorted pieces, each with fingerprints of one bucket and their documents' ids.
+def make_run(texts: DataFrame, buckets: int) -> DataFrame:
+    """The run of (id, text) rows: sorted pieces, each with fingerprints of one bucket and their documents' ids.
 
     A piece comes from one Arrow batch of documents, so its size is bounded and nothing is shuffled.
     """
@@ -115,7 +118,7 @@ def make_run(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataF
             if fps:
                 yield from _pieces(np.concatenate(fps), np.concatenate(owner), buckets)
 
-    return docs.filter(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(entries, RUN)
+    return texts.select("id", "text").mapInArrow(entries, RUN)
 
 
 def _pieces(fps: np.ndarray, docs: np.ndarray, buckets: int, most: int = 1 << 18):
@@ -148,7 +151,7 @@ def merge_runs(runs: DataFrame, buckets: int) -> DataFrame:
         if fps:
             yield from _distinct(np.concatenate(fps), np.concatenate(docs), buckets)
 
-    return runs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, RUN)
+    return runs.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, RUN)
 
 
 def _distinct(fps: np.ndarray, docs: np.ndarray, buckets: int):
@@ -175,12 +178,12 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def shared_fingerprints(runs: DataFrame, buckets: int) -> DataFrame:
-    """Merge-join of runs: id and the fingerprints that another document has too.
+def shared_fingerprints(run: DataFrame, old: DataFrame | None, buckets: int) -> DataFrame:
+    """Merge-join of a batch's run with earlier ones: id, the fingerprints that the batch and another document share, ``old``.
 
     A piece settles the fingerprints that several of its own documents have, and sends each fingerprint
     once, with one document and whether there are more: so one that a third of all documents hold
-    costs an entry a piece. ``runs`` should be written: it is read twice.
+    costs an entry a piece. ``run`` should be written: it is read twice.
     """
 
     def local(batches):
@@ -199,23 +202,35 @@ def shared_fingerprints(runs: DataFrame, buckets: int) -> DataFrame:
                 start, _ = _groups(fps)
                 low, high = np.minimum.reduceat(docs, start), np.maximum.reduceat(docs, start)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([bucket], pa.int32()), pa.array([fps[start].tobytes()], pa.binary()), pa.array([low.tobytes()], pa.binary()), pa.array([(low != high).tobytes()], pa.binary())],
-                    names=["bucket", "fps", "docs", "many"],
+                    [pa.array([bucket], pa.int32()), pa.array([fps[start].tobytes()], pa.binary()), pa.array([low.tobytes()], pa.binary()), pa.array([np.where(low != high, MANY, NEW).tobytes()], pa.binary())],
+                    names=["bucket", "fps", "docs", "kind"],
+                )
+
+    def plain(batches):
+        for b in batches:
+            for bucket, f, d in zip(*(b.column(c).to_pylist() for c in ("bucket", "fps", "docs"))):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([bucket], pa.int32()), pa.array([f], pa.binary()), pa.array([d], pa.binary()), pa.array([np.full(len(f) // 8, OLD).tobytes()], pa.binary())], names=["bucket", "fps", "docs", "kind"]
                 )
 
     def merge(bucket, columns):
-        fps, docs, many = np.frombuffer(columns[0], np.uint64), np.frombuffer(columns[1], np.int64), np.frombuffer(columns[2], bool)
+        fps, docs, kind = np.frombuffer(columns[0], np.uint64), np.frombuffer(columns[1], np.int64), np.frombuffer(columns[2], np.uint8)
         order = np.argsort(fps, kind="stable")
-        fps, docs, many = fps[order], docs[order], many[order]
+        fps, docs, kind = fps[order], docs[order], kind[order]
         start, group = _groups(fps)
-        shared = np.logical_or.reduceat(many, start) | (np.minimum.reduceat(docs, start) != np.maximum.reduceat(docs, start))
-        hit = shared[group] & ~many
-        if hit.any():
-            yield _by_doc(docs[hit], fps[hit])
+        several = np.logical_or.reduceat(kind == MANY, start) | (np.minimum.reduceat(docs, start) != np.maximum.reduceat(docs, start))
+        shared = (several & np.logical_or.reduceat(kind != OLD, start))[group]
+        for old in (False, True):
+            hit = shared & (kind == (OLD if old else NEW))
+            if hit.any():
+                found = _by_doc(docs[hit], fps[hit])
+                yield pa.RecordBatch.from_arrays([*found.columns, pa.array([old] * found.num_rows)], names=["id", "blob", "old"])
 
-    hint = "id long, blob binary"
-    sent = runs.mapInArrow(heads, "bucket int, fps binary, docs binary, many binary")
-    return runs.mapInArrow(local, hint).unionByName(_merge_rows(sent, buckets, merge, hint, "fps", "docs", "many"))
+    sent = run.mapInArrow(heads, "bucket int, fps binary, docs binary, kind binary")
+    if old is not None:
+        sent = sent.unionByName(old.mapInArrow(plain, "bucket int, fps binary, docs binary, kind binary"))
+    merged = _merge_rows(sent, buckets, merge, "id long, blob binary, old boolean", "fps", "docs", "kind")
+    return run.mapInArrow(local, "id long, blob binary").withColumn("old", F.lit(False)).unionByName(merged)
 
 
 def _first_owner(h1: np.ndarray, h2: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -232,82 +247,95 @@ def _first_owner(h1: np.ndarray, h2: np.ndarray, docs: np.ndarray) -> np.ndarray
     return np.minimum.reduceat(docs, start)[group]
 
 
-STAGE = "kind int, bucket int, h1 binary, h2 binary, docs binary, id long, text string, done binary, n long, removed long, kept string"
-
-
-def _result(doc: int | None, words: list[bytes], gone: np.ndarray | None, want_text: bool) -> tuple:
-    """n, removed and the kept words (or their digest) of a document."""
-    kept = words if gone is None else [w for w, g in zip(words, gone.tolist()) if not g]
-    joined = b" ".join(kept)
-    return len(words), len(words) - len(kept), joined.decode("utf-8", "surrogatepass") if want_text else hashlib.sha256(joined).hexdigest()
+#: Rows of the tables between the steps: windows to compare (kind 0), documents with such windows (1), results (2), run pieces (3).
+STAGE = "kind int, bucket int, h1 binary, h2 binary, docs binary, row long, id long, text string, done binary, n long, removed long, kept string"
+STAGE_TYPES = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.string()]
+STAGE_NAMES = [x.split()[0] for x in STAGE.split(", ")]
 
 
 class _Rows:
-    """Rows of the mixed stage table, gathered column by column."""
-
-    def __init__(self):
-        self.columns: list[list] = [[] for _ in range(11)]
-
-    def add(self, kind, bucket=None, h1=None, h2=None, docs=None, id=None, text=None, done=None, n=None, removed=None, kept=None):
-        for c, v in zip(self.columns, (kind, bucket, h1, h2, docs, id, text, done, n, removed, kept)):
-            c.append(v)
+    """Rows of the mixed table and the fingerprints to index, of one Arrow batch."""
+
+    def __init__(self, buckets: int, want_text: bool):
+        self.columns: dict[str, list] = {c: [] for c in STAGE_NAMES}
+        self.buckets, self.want_text = buckets, want_text
+        self.fps: list[np.ndarray] = []
+        self.owners: list[np.ndarray] = []
+
+    def add(self, kind: int, **values) -> None:
+        for c, column_ in self.columns.items():
+            column_.append(kind if c == "kind" else values.get(c))
+
+    def result(self, row: int | None, doc: int | None, words: list[bytes], gone: np.ndarray | None = None) -> None:
+        """n, removed and the kept words (or their digest) of a document."""
+        kept = words if gone is None else [w for w, g in zip(words, gone.tolist()) if not g]
+        joined = b" ".join(kept)
+        text = joined.decode("utf-8", "surrogatepass") if self.want_text else hashlib.sha256(joined).hexdigest()
+        self.add(2, row=row, id=doc, n=len(words), removed=len(words) - len(kept), kept=text)
+
+    def index(self, doc: int, fps: np.ndarray) -> None:
+        own = np.unique(fps)
+        self.fps.append(own)
+        self.owners.append(np.full(len(own), doc, np.int64))
 
     def batches(self):
         """Record batches of few rows, as some hold whole texts and some long blobs."""
-        t = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.string()]
-        for i in range(0, len(self.columns[0]), 500):
-            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 500], k) for c, k in zip(self.columns, t)], names=[x.split()[0] for x in STAGE.split(", ")])
+        if self.fps:
+            for piece in _pieces(np.concatenate(self.fps), np.concatenate(self.owners), self.buckets):
+                self.add(3, bucket=piece.column(0)[0].as_py(), h1=piece.column(1)[0].as_py(), docs=piece.column(2)[0].as_py())
+        for i in range(0, len(self.columns["kind"]), 500):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 500], t) for c, t in zip(self.columns.values(), STAGE_TYPES)], names=STAGE_NAMES)
 
 
 def _with_hints(texts: DataFrame, hints: DataFrame) -> DataFrame:
-    """Hints of a document and then its texts, sorted in one partition; hot ids are spread.
+    """Hints of a document and then its rows, sorted in one partition; hot ids are spread.
 
-    ``texts``: id, text, th, done. ``hints``: id, blob, th (set only on notes that a text is a copy).
+    ``texts``: row, id, text, done, own; ``hints``: id, blob.
     """
-    total = texts.count()
-    hot = [r[0] for r in texts.groupBy("id").count().filter(F.col("count") > max(100_000, total // 1024)).select("id").collect()]
+    keys = materialize(texts.select("id"), "hinted-ids")
+    total = keys.count()
+    hot = [r[0] for r in keys.groupBy("id").count().filter(F.col("count") > max(10_000, total // 1024)).select("id").collect()]
     is_hot = F.col("id").isin(hot) if hot else F.lit(False)
     salts = 64 if hot else 1
-    t = texts.withColumn("salt", F.when(is_hot, F.pmod("th", F.lit(salts)).cast("int")).otherwise(F.lit(0)))
+    t = texts.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
     h = hints.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    rows = h.select("id", "salt", "blob", "th", F.lit(None).cast("string").alias("text"), F.lit(None).cast("binary").alias("done"), F.lit(0).alias("side")).unionByName(
-        t.select("id", "salt", F.lit(None).cast("binary").alias("blob"), "th", "text", "done", F.lit(1).alias("side"))
+    null = lambda kind: F.lit(None).cast(kind)
+    rows = h.select("id", "salt", "blob", null("long").alias("row"), null("string").alias("text"), null("binary").alias("done"), F.lit(False).alias("own"), F.lit(0).alias("side")).unionByName(
+        t.select("id", "salt", null("binary").alias("blob"), "row", "text", "done", "own", F.lit(1).alias("side"))
     )
     return rows.repartition("id", "salt").sortWithinPartitions("id", "salt", "side")
 
 
 def _compare(rows: DataFrame, buckets: int, want_text: bool) -> DataFrame:
-    """Settle documents without shared windows; others give run rows (kind 0) and themselves (kind 1)."""
+    """Settle documents without shared windows; others give window rows and themselves. Earlier owners give windows only."""
 
     def run(batches):
-        at, hint, copies = None, [], set()
+        at, hint = None, []
         for b in gathered(batches, BATCH):
-            out, h1s, h2s, owners, places, texts = _Rows(), [], [], [], [], []
-            for id_, blob, th, text, side in zip(*(b.column(c).to_pylist() for c in ("id", "blob", "th", "text", "side"))):
+            out, h1s, h2s, owners, places, texts = _Rows(buckets, want_text), [], [], [], [], []
+            for id_, blob, row, text, own, side in zip(*(b.column(c).to_pylist() for c in ("id", "blob", "row", "text", "own", "side"))):
                 if id_ != at:
-                    at, hint, copies = id_, [], set()
+                    at, hint = id_, []
                 if side == 0:
-                    if th is None:
-                        hint.append(np.frombuffer(blob, np.uint64))
-                    else:
-                        copies.add(th)
+                    hint.append(np.frombuffer(blob, np.uint64))
                     continue
                 words = words_of(text)
-                if th in copies and len(words) >= SIZE:
-                    out.add(2, id=id_, **dict(zip(("n", "removed", "kept"), _result(id_, words, np.ones(len(words), bool), want_text))))
-                    continue
                 cand = np.empty(0, np.int64)
                 if hint and len(words) >= SIZE:
                     h = word_hashes(words)
-                    cand = np.flatnonzero(np.isin(minimizers(h), np.concatenate(hint)))
+                    least = minimizers(h)
+                    cand = np.flatnonzero(np.isin(least, np.concatenate(hint)))
                 if not len(cand):
-                    out.add(2, id=id_, **dict(zip(("n", "removed", "kept"), _result(id_, words, None, want_text))))
+                    if own:
+                        out.result(row, id_, words)
+                        if len(words) >= SIZE:
+                            out.index(id_, minimizers(word_hashes(words)))
                     continue
                 h1s.append(window_hashes(h, SIZE, P1)[cand])
                 h2s.append((window_hashes(h, SIZE, P2)[cand] >> np.uint64(32)).astype(np.uint32))
                 owners.append(np.full(len(cand), id_, np.int64))
                 places.append(cand)
-                texts.append((id_, text))
+                texts.append((row, id_, text, own))
             if texts:
                 h1, h2, owner = np.concatenate(h1s), np.concatenate(h2s), np.concatenate(owners)
                 order = np.argsort(h1, kind="stable")
@@ -316,8 +344,9 @@ def _compare(rows: DataFrame, buckets: int, want_text: bool) -> DataFrame:
                 beaten = first < owner
                 # A window that a smaller id of this batch has is settled here; of equal ones one entry travels.
                 ends = np.cumsum([len(p) for p in places])
-                for (id_, text), place, lost in zip(texts, places, np.split(beaten, ends[:-1])):
-                    out.add(1, id=id_, text=text, done=place[lost].astype(np.uint32).tobytes())
+                for (row, id_, text, own), place, lost in zip(texts, places, np.split(beaten, ends[:-1])):
+                    if own:
+                        out.add(1, row=row, id=id_, text=text, done=place[lost].astype(np.uint32).tobytes())
                 go = order[~beaten[order]]
                 h1, h2, owner = h1[go], h2[go], owner[go]
                 fresh = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (owner[1:] != owner[:-1])]) if len(h1) else np.empty(0, bool)
@@ -329,93 +358,77 @@ def _compare(rows: DataFrame, buckets: int, want_text: bool) -> DataFrame:
     return rows.mapInArrow(run, STAGE)
 
 
-def _finish(rows: DataFrame, want_text: bool) -> DataFrame:
+def _finish(rows: DataFrame, buckets: int, want_text: bool) -> DataFrame:
+    """Take the lost windows out of documents; the fingerprints of all their other windows go to the index."""
+
     def run(batches):
         at, hint = None, []
-        for b in sliced(batches):
-            ids, results = [], []
-            for id_, blob, text, done, side in zip(*(b.column(c).to_pylist() for c in ("id", "blob", "text", "done", "side"))):
+        for b in gathered(batches, BATCH):
+            out = _Rows(buckets, want_text)
+            for id_, blob, row, text, done, side in zip(*(b.column(c).to_pylist() for c in ("id", "blob", "row", "text", "done", "side"))):
                 if id_ != at:
                     at, hint = id_, []
                 if side == 0:
                     hint.append(np.frombuffer(blob, np.uint64))
                     continue
                 words = words_of(text)
-                starts = np.frombuffer(done, np.uint32).astype(np.int64)
+                h = word_hashes(words)
+                fresh = np.ones(len(words) - SIZE + 1, bool)
+                fresh[np.frombuffer(done, np.uint32)] = False
                 if hint:
-                    h1 = window_hashes(word_hashes(words), SIZE, P1)
-                    starts = np.concatenate([starts, np.flatnonzero(np.isin(h1, np.concatenate(hint)))])
-                gone = covered(np.unique(starts), len(words)) if len(starts) else None
-                ids.append(id_)
-                results.append(_result(id_, words, gone, want_text))
-            n, removed, kept = zip(*results) if results else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["id", "n", "removed", "kept"]
-            )
+                    fresh &= ~np.isin(window_hashes(h, SIZE, P1), np.concatenate(hint))
+                out.result(row, id_, words, covered(np.flatnonzero(~fresh), len(words)) if not fresh.all() else None)
+                if fresh.any():
+                    out.index(id_, minimizers(h)[fresh])
+            yield from out.batches()
 
-    return rows.mapInArrow(run, "id long, n long, removed long, kept string")
+    return rows.mapInArrow(run, STAGE)
 
 
-def _dedup(docs: DataFrame, runs: DataFrame, buckets: int, id_col: str, text_col: str, history: DataFrame | None, want_text: bool, keep_runs: bool = True) -> DataFrame:
-    """id, n, removed and kept (digest, or the words themselves) of each row of ``docs``.
+def _settle(texts: DataFrame, buckets: int, want_text: bool, copies: bool = False, index: bool = True) -> DataFrame:
+    """Results of (row, id, text) rows where they are read: whole copies lose all words, others none."""
 
-    ``history``: earlier documents; those that share fingerprints take part as owners only.
-    """
-    hints = materialize(shared_fingerprints(runs, buckets).withColumn("th", F.lit(None).cast("long")), "hints")
-    if not keep_runs:
-        discard(runs)
-    shape = lambda d: d.filter(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"),
-        F.hash(text_col).alias("th2"), F.octet_length(text_col).alias("tl"),
-    )
-    own = shape(docs)
-    known = own
-    if history is not None:  # only the earlier documents that share fingerprints are read in full
-        old = shape(history).join(hints.select("id").distinct(), "id", "left_semi")
-        known = own.unionByName(old)
-    # Rows whose text a smaller id has: whole copies.
-    keys = known.select("id", "th", "th2", "tl").filter("th is not null and tl > 0")
-    per_doc = keys.groupBy("th", "th2", "tl", "id").count()
-    first = per_doc.groupBy("th", "th2", "tl").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    copies = per_doc.join(first, ["th", "th2", "tl"]).filter("id > first").select("id", "th")
-    notes = hints.unionByName(copies.select("id", F.lit(None).cast("binary").alias("blob"), "th"))
-    texts = known.select("id", "text", "th", F.lit(None).cast("binary").alias("done"))
-    staged = materialize(_compare(_with_hints(texts, notes), buckets, want_text), "windows")
-
-    discard(hints)
+    def run(batches):
+        for b in gathered(batches, BATCH):
+            out = _Rows(buckets, want_text)
+            for row, id_, text in zip(*(b.column(c).to_pylist() for c in ("row", "id", "text"))):
+                words = words_of(text)
+                long = len(words) >= SIZE
+                out.result(row, id_, words, np.ones(len(words), bool) if copies and long else None)
+                if index and long and not copies:
+                    out.index(id_, minimizers(word_hashes(words)))
+            yield from out.batches()
+
+    return texts.select("row", "id", "text").mapInArrow(run, STAGE)
+
+
+def dedup_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", want_text: bool = False, batches: int = 4, fanout: int = 3) -> DataFrame:
+    """``row``, ``id``, ``n``, ``removed`` and ``kept`` of one whole table, fed to an index in batches of about equal numbers of rows by id."""
+    _whole_numbers(docs, id_col)
+    at, spark, ids = Located(docs), docs.sparkSession, column(id_col)
+    index = FingerprintIndex(spark, f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}", bucket_count(at.docs, text_col), fanout)
+    cuts = [k / batches for k in range(1, batches)]
+    ends = sorted(set(at.docs.agg(F.percentile_approx(ids, cuts, 10_000)).first()[0] or [])) if cuts else []
+    out = None
+    for low, high in zip([None, *ends], [*ends, None]):
+        inside = (F.lit(True) if low is None else ids > low) & (F.lit(True) if high is None else ids <= high)
+        batch = at.docs.filter(inside if low is not None else inside | ids.isNull())
+        found = index.add(batch, None if low is None else at.docs.filter(ids <= low), id_col, text_col, want_text)
+        out = found if out is None else out.unionByName(found)
+    index.drop()
+    return out
 
-    def merge(bucket, columns):
-        h1, h2, owner = np.frombuffer(columns[0], np.uint64), np.frombuffer(columns[1], np.uint32), np.frombuffer(columns[2], np.int64)
-        order = np.argsort(h1, kind="stable")
-        h1, h2, owner = h1[order], h2[order], owner[order]
-        lost = _first_owner(h1, h2, owner) < owner
-        if lost.any():
-            yield _by_doc(owner[lost], h1[lost])
-
-    windows = staged.filter("kind = 0").select("bucket", "h1", "h2", "docs")
-    lost = _merge_rows(windows, buckets, merge, "id long, blob binary", "h1", "h2", "docs")
-    lost = materialize(lost.withColumn("th", F.lit(None).cast("long")), "lost")
-    open_docs = staged.filter("kind = 1").select("id", "text", F.xxhash64("text").alias("th"), "done")
-    if history is not None:
-        open_docs = open_docs.join(own.select("id").distinct(), "id", "left_semi")
-    done = staged.filter("kind = 2").select("id", "n", "removed", "kept")
-    if history is not None:
-        done = done.join(own.select("id").distinct(), "id", "left_semi")
-    finished = _finish(_with_hints(open_docs, lost), want_text)
-    nulls = docs.filter(F.col(id_col).isNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("th"), F.lit(b"").alias("done"), F.lit(1).alias("side"), F.lit(None).cast("binary").alias("blob"))
-    return done.unionByName(finished).unionByName(_finish(nulls, want_text))
-
-
-def dedup_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", want_text: bool = False) -> DataFrame:
-    """Dedup of one whole table: a single batch without history."""
-    buckets = bucket_count(docs, text_col)
-    run = materialize(make_run(docs, id_col, text_col, buckets), "run")
-    return _dedup(docs, run, buckets, id_col, text_col, None, want_text, keep_runs=False)
+
+def _whole_numbers(docs: DataFrame, id_col: str) -> None:
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{id_col} must be a whole number")
 
 
 class FingerprintIndex:
-    """Runs on disk, in levels: ``path/level=L/run=N``. Batches come in the order of their ids.
+    """Runs of fingerprints on disk, in levels: ``path/runs/level-number``; the newest file of ``path/versions`` lists those that count.
 
+    Batches come in the order of their ids; there is one writer at a time. A run is never changed: compaction writes a merged one and a
+    new version, and deletes runs that neither this version nor the one before lists, so a reader of either finds its files.
     ``buckets`` is set when the index is made (a power of two; size it for the corpus it will hold).
     """
 
@@ -423,31 +436,148 @@ class FingerprintIndex:
         if buckets & (buckets - 1):
             raise ValueError("buckets must be a power of two")
         self.spark, self.path, self.buckets, self.fanout = spark, path, buckets, fanout
+        self._jvm = spark.sparkContext._jvm
+        self._fs = self._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def runs(self) -> list[tuple[int, int]]:
-        """(level, number) of each run."""
-        try:
-            rows = self.spark.read.parquet(self.path).select("level", "run").distinct().collect()
-        except AnalysisException:
-            return []
-        return sorted((r["level"], r["run"]) for r in rows)
+    def _at(self, *parts: str):
+        return self._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
 
-    def _at(self, level: int, run: int) -> str:
-        return f"{self.path}/level={level}/run={run}"
+    def _listed(self, folder: str) -> list[str]:
+        at = self._at(folder)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
 
-    def _all(self) -> DataFrame | None:
-        return self.spark.read.parquet(self.path).select("bucket", "fps", "docs") if self.runs() else None
+    def _version(self, back: int = 0) -> list[str]:
+        """Names of the runs of the newest version, or of one ``back`` before."""
+        names = [n for n in self._listed("versions") if n.isdigit()]
+        if len(names) <= back:
+            return []
+        stream = self._fs.open(self._at("versions", names[-1 - back]))
+        try:
+            return bytes(stream.readAllBytes()).decode().split()
+        finally:
+            stream.close()
+
+    def _commit(self, runs: list[str]) -> None:
+        number = int(([n for n in self._listed("versions") if n.isdigit()] or ["0"])[-1]) + 1
+        part = self._at("versions", f".{number}")
+        stream = self._fs.create(part, True)
+        stream.write("\n".join(runs).encode())
+        stream.close()
+        self._fs.rename(part, self._at("versions", f"{number:09d}"))
+        for name in set(self._listed("runs")) - set(runs) - set(self._version(1)):
+            self._fs.delete(self._at("runs", name), True)
+
+    def runs(self) -> list[tuple[int, int]]:
+        """(level, number) of each run."""
+        return sorted(tuple(map(int, n.split("-"))) for n in self._version())
+
+    def _paths(self, names) -> list[str]:
+        return [f"{self.path}/runs/{n}/*" for n in names]
+
+    def _read(self, names: list[str]) -> DataFrame | None:
+        if not names:
+            return None
+        return self.spark.read.schema("bucket int, h1 binary, docs binary").parquet(*self._paths(names)).withColumnRenamed("h1", "fps")
+
+    def entries(self) -> DataFrame | None:
+        """The pieces (bucket, fps, docs) of all runs."""
+        return self._read(self._version())
+
+    def drop(self) -> None:
+        self._fs.delete(self._at(), True)
+
+    def _stage(self, df: DataFrame) -> str:
+        """Write a mixed table, a folder for each kind of row."""
+        path = f"{self.path}/stage/{uuid.uuid4().hex}"
+        df.write.partitionBy("kind").option("compression", "zstd").parquet(path)
+        return path
+
+    def _kind(self, paths: list[str], kind: int, *columns: str) -> DataFrame:
+        schema = ", ".join(x for x in STAGE.split(", ") if x.split()[0] in columns)
+        there = [f"{p}/kind={kind}" for p in paths if self._fs.exists(self._jvm.org.apache.hadoop.fs.Path(f"{p}/kind={kind}"))]
+        if not there:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*there)
+
+    def _copies(self, keys: DataFrame) -> DataFrame:
+        """``row`` of each row whose text an earlier batch or a smaller id has; notes the batch's texts."""
+        texts = keys.filter("th is not null and tl > 0").groupBy("th", "th2", "tl").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+        if self._fs.exists(self._at("texts")):
+            seen = self.spark.read.schema("th long, th2 int, tl int").parquet(f"{self.path}/texts/*").distinct()
+            texts = texts.join(seen.withColumn("seen", F.lit(True)), ["th", "th2", "tl"], "left")
+        else:
+            texts = texts.withColumn("seen", F.lit(None).cast("boolean"))
+        texts = materialize(texts, "texts")
+        texts.filter("seen is null").select("th", "th2", "tl").write.parquet(f"{self.path}/texts/{uuid.uuid4().hex}")
+        several = texts.filter("seen or first < last").withColumnsRenamed({"th2": "_2", "tl": "_l"})
+        return join_hot(keys, several, "th").filter("th2 = _2 and tl = _l and (seen or id > first)").select("row")
 
     def add(self, batch: DataFrame, history: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", want_text: bool = False) -> DataFrame:
-        """Dedup a batch against ``history`` (all documents of earlier batches) and itself, and index it."""
-        new = materialize(make_run(batch, id_col, text_col, self.buckets), "run")
-        old = self._all()
-        runs = new if old is None else new.unionByName(old)
-        out = materialize(_dedup(batch, runs, self.buckets, id_col, text_col, history, want_text), "batch")
-        have = self.runs()
-        new.write.parquet(self._at(0, max((n for _, n in have), default=-1) + 1))
+        """Dedup a batch against ``history`` (all documents of earlier batches) and itself, and index it.
+
+        Gives ``row`` (its number in the batch's table), ``id``, ``n``, ``removed`` and ``kept``: the words, or their digest.
+        """
+        _whole_numbers(batch, id_col)
+        shape = lambda rows, row: rows.select(column(row).alias("row"), column(id_col).cast("long").alias("id"), column(text_col).alias("text"))
+        at = Located(batch)
+        row = spare(at.columns, "row")[0]
+        hashed = (F.xxhash64("text").alias("th"), F.hash("text").alias("th2"), F.octet_length("text").alias("tl"))
+        keys = materialize(shape(at.numbered(row), row).filter("id is not null").select("id", "row", F.when(F.col("text").isNotNull(), hashed[0]).alias("th"), *hashed[1:]), "keys")
+        copies = materialize(self._copies(keys), "copies")
+        copied = Marks(at, copies, "row")
+        rest = shape(at.pick(copied, row, on=False), row).filter("id is not null")
+        run = materialize(make_run(rest, self.buckets), "run")
+        hints = materialize(shared_fingerprints(run, self.entries(), self.buckets), "hints")
+
+        # Rows of the batch with a hint, and earlier documents that own a shared fingerprint.
+        own = keys.join(hints.filter("not old").select("id").distinct(), "id").select("row").join(copies, "row", "left_anti")
+        hinted = Marks(at, own, "row")
+        null = F.lit(None).cast("binary").alias("done")
+        texts = shape(at.pick(hinted, row), row).select("row", "id", "text", null, F.lit(True).alias("own"))
+        if history is not None:
+            past = Located(history)
+            old = past.numbered(row).select(column(row).alias("row"), column(id_col).cast("long").alias("id"))
+            owners = Marks(past, old.join(hints.filter("old").select("id").distinct(), "id").select("row"), "row")
+            texts = texts.unionByName(shape(past.pick(owners, row), row).select("row", "id", "text", null, F.lit(False).alias("own")))
+        staged = self._stage(_compare(_with_hints(texts, hints.select("id", "blob")), self.buckets, want_text))
+
+        def merge(bucket, columns):
+            h1, h2, owner = np.frombuffer(columns[0], np.uint64), np.frombuffer(columns[1], np.uint32), np.frombuffer(columns[2], np.int64)
+            order = np.argsort(h1, kind="stable")
+            h1, h2, owner = h1[order], h2[order], owner[order]
+            lost = _first_owner(h1, h2, owner) < owner
+            if lost.any():
+                yield _by_doc(owner[lost], h1[lost])
+
+        lost = _merge_rows(self._kind([staged], 0, "bucket", "h1", "h2", "docs"), self.buckets, merge, "id long, blob binary", "h1", "h2", "docs")
+        lost = materialize(lost, "lost")
+        open_docs = self._kind([staged], 1, "row", "id", "text", "done").withColumn("own", F.lit(True))
+        finished = self._stage(_finish(_with_hints(open_docs, lost), self.buckets, want_text))
+
+        # All other rows are settled where they are read.
+        settled = self._stage(
+            _settle(hinted.of(rest.select("row", "id", "text"), "row", on=False), self.buckets, want_text)
+            .unionByName(_settle(shape(at.pick(copied, row), row), self.buckets, want_text, copies=True))
+            .unionByName(_settle(shape(at.numbered(row), row).filter("id is null"), self.buckets, want_text, index=False))
+        )
+        self._keep([staged, finished, settled])
+        result = materialize(self._kind([staged, finished, settled], 2, "row", "id", "n", "removed", "kept"), "batch")
+        self._fs.delete(self._at("stage"), True)
         self.compact()
-        return out
+        return result
+
+    def _keep(self, stages: list[str]) -> None:
+        """Move the run pieces of mixed tables to a run of the lowest level, a folder each, and commit it."""
+        have = self._version()
+        name = f"0-{max((n for _, n in self.runs()), default=-1) + 1}"
+        self._fs.delete(self._at("runs", name), True)  # what a lost writer left
+        self._fs.mkdirs(self._at("runs", name))
+        for k, path in enumerate(stages):
+            at = self._jvm.org.apache.hadoop.fs.Path(f"{path}/kind=3")
+            if self._fs.exists(at):
+                self._fs.rename(at, self._at("runs", name, str(k)))
+        if self._listed(f"runs/{name}"):
+            self._commit([*have, name])
 
     def compact(self) -> None:
         """Merge the runs of each level that has ``fanout`` of them into one of the next level."""
@@ -460,10 +590,9 @@ class FingerprintIndex:
                     return
                 level += 1
                 continue
-            paths = [self._at(level, n) for n in own]
-            merged = merge_runs(self.spark.read.schema(RUN).parquet(*paths), self.buckets)
-            merged.write.parquet(self._at(level + 1, max(n for _, n in have) + 1))
-            for p in paths:
-                at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
-                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            gone = [f"{level}-{n}" for n in own]
+            merged = merge_runs(self._read(gone), self.buckets)
+            name = f"{level + 1}-{max(n for _, n in have) + 1}"
+            merged.withColumnRenamed("fps", "h1").write.mode("overwrite").parquet(f"{self.path}/runs/{name}/0")
+            self._commit([n for n in self._version() if n not in gone] + [name])
             level += 1

@@ -39,16 +39,22 @@ def test_empty(spark, empty_docs):
     assert substring.dedup_table(empty_docs).count() == 0
 
 
-@pytest.mark.parametrize("fanout", [2, 3])
-def test_batches_equal_the_whole(spark, edge_docs, tmp_path, fanout):
+def test_batches_equal_the_whole(spark, edge_docs, tmp_path, fanout=2):
     docs = edge_docs.filter("doc_id is not null")
-    wanted = rows_of(substring.dedup_table(docs))
+    wanted = brute([tuple(r) for r in docs.collect()])
     index, got = substring.FingerprintIndex(spark, f"file://{tmp_path}/ix", buckets=4, fanout=fanout), []
     for lo, hi in ((0, 3), (3, 8), (8, 12), (12, 99)):
         batch, history = docs.filter(f"doc_id >= {lo} and doc_id < {hi}"), docs.filter(f"doc_id < {lo}")
         got += rows_of(index.add(batch, history if lo else None))
     assert sorted(got, key=str) == wanted
     assert max(level for level, _ in index.runs()) >= 1
+    runs = index._version()
+    assert set(runs) <= set(index._listed("runs")) <= set(runs) | set(index._version(1))  # the version before still reads
+
+
+def test_ids_must_be_whole_numbers(spark):
+    with pytest.raises(ValueError):
+        substring.dedup_table(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
 
 
 def test_removed_text_is_real(spark):
