@@ -8,7 +8,8 @@ Escaping: ``<``, any number of ``\`` and ``|`` gets one more ``\``; a line break
 ``<|nl|>``. Unescaping takes both away again.
 
 Defined results: null role or text is empty; unknown layouts have null turns and layout; turns
-that tie keep the order role, text; an empty table has no conversations.
+that tie keep the order role, text, repeated ones included; texts of any length are kept whole, though a JSON record
+over the size of a variant (128 MB) has an unknown layout; an empty table has no conversations; other columns don't count.
 """
 
 from __future__ import annotations
@@ -16,10 +17,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keyfacet.llm.common import column, spare, worker_cache
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 TURNS = "array<struct<role:string,text:string>>"
 
@@ -40,7 +44,19 @@ def fingerprint(paths: list[str]) -> str:
 # ---- layouts of one JSON record each -------------------------------------------------------
 
 
-def _get(v: Column, path: str, kind: str = "string") -> Column:
+class _Struct:
+    """A typed record, read by the same paths as a parsed one."""
+
+    def __init__(self, col: Column):
+        self.col = col
+
+
+def _get(v: Column | _Struct, path: str, kind: str = "string") -> Column:
+    if isinstance(v, _Struct):
+        at = v.col
+        for name in path[2:].split("."):
+            at = at[name]
+        return at if kind.startswith("array") else at.cast(kind)
     return F.try_variant_get(v, path, kind)
 
 
@@ -48,34 +64,35 @@ def _turn(role: str | Column, text: Column) -> Column:
     return F.struct((F.lit(role) if isinstance(role, str) else role).alias("role"), text.alias("text"))
 
 
-def _messages(list_path: str, role: str, text: str) -> Callable[[Column], Column]:
-    """A list of objects with a role and a text field; common role names become canonical."""
+def _messages(list_path: str, role: str, text: str, rename: bool = True) -> Callable[[Column | _Struct], Column]:
+    """A list of objects with a role and a text field; common role names become canonical, unless roles stay as they are."""
 
-    def build(v: Column) -> Column:
+    def build(v: Column | _Struct) -> Column:
         named = F.create_map(*[F.lit(x) for x in ("human", "user", "gpt", "assistant", "bot", "assistant", "model", "assistant")])
         items = _get(v, list_path, f"array<struct<{role}:string,{text}:string>>")
-        return F.transform(items, lambda m: _turn(F.coalesce(named[m[role]], m[role]), m[text]))
+        return F.transform(items, lambda m: _turn(F.coalesce(named[m[role]], m[role]) if rename else m[role], m[text]))
 
     return build
 
 
-def _pairs(*parts: tuple[str, str]) -> Callable[[Column], Column]:
+def _pairs(*parts: tuple[str, str]) -> Callable[[Column | _Struct], Column]:
     """Fixed fields, each a turn of a given role; missing or empty ones give no turn."""
 
-    def build(v: Column) -> Column:
+    def build(v: Column | _Struct) -> Column:
         turns = F.array(*[_turn(role, _get(v, path)) for role, path in parts])
         return F.filter(turns, lambda t: F.coalesce(t["text"], F.lit("")) != "")
 
     return build
 
 
-def _instruction(v: Column) -> Column:
+def _instruction(v: Column | _Struct) -> Column:
     asked = F.concat_ws("\n\n", F.nullif(_get(v, "$.instruction"), F.lit("")), F.nullif(_get(v, "$.input"), F.lit("")))
     return F.array(_turn("user", asked), _turn("assistant", _get(v, "$.output")))
 
 
 #: Field paths and mapping of each known layout. Types don't count, so a null field keeps the layout.
-LAYOUTS: dict[str, tuple[tuple[str, ...], Callable[[Column], Column]]] = {
+LAYOUTS: dict[str, tuple[tuple[str, ...], Callable[[Column | _Struct], Column]]] = {
+    "turns": (("turns[].role", "turns[].text"), _messages("$.turns", "role", "text", rename=False)),
     "messages": (("messages[].content", "messages[].role"), _messages("$.messages", "role", "content")),
     "conversations": (("conversations[].from", "conversations[].value"), _messages("$.conversations", "from", "value")),
     "instruction": (("instruction", "output"), _instruction),
@@ -113,26 +130,36 @@ def shape_paths(shape: str) -> list[str]:
     return sorted(walk(shape, ""))
 
 
-def canonical(records: DataFrame, payload_col: str = "payload", max_layouts: int = 10_000) -> DataFrame:
-    """Add ``layout`` (name), ``fingerprint`` and ``turns`` to rows with a JSON text each.
+@F.pandas_udf(T.StringType())
+def _shape_print(shapes: pd.Series) -> pd.Series:
+    known = worker_cache("shapes")
+    if len(known) > 100_000:
+        known.clear()
+    return shapes.map(lambda s: None if s is None else known[s] if s in known else known.setdefault(s, fingerprint(shape_paths(s))))
+
+
+def canonical(records: DataFrame, payload_col: str = "payload") -> DataFrame:
+    """Add ``layout`` (name), ``fingerprint`` and ``turns`` to rows with a record each: a JSON text or a struct.
 
-    The distinct shapes are gathered (a handful; more than ``max_layouts`` is an error), hashed on the
-    driver and matched with the known fingerprints; each row then takes its mapping by a conditional.
+    The field paths of a struct are those of its type; those of a JSON text are found row by row, and only its
+    shape goes to Python to be hashed. The fingerprint then picks one of the known mappings.
     """
     known = {fingerprint(list(paths)): name for name, (paths, _) in LAYOUTS.items()}
-    v = records.withColumn("__v", F.try_parse_json(payload_col)).withColumn("__shape", variant_shape(F.col("__v")))
-    shapes = [r[0] for r in v.select("__shape").distinct().limit(max_layouts + 1).collect() if r[0] is not None]
-    if len(shapes) > max_layouts:
-        raise ValueError(f"more than {max_layouts} layouts: is {payload_col} a key-value store?")
-    turns, name, print_ = F.lit(None).cast(TURNS), F.lit(None).cast("string"), F.lit(None).cast("string")
-    for shape in sorted(shapes):
-        mark = fingerprint(shape_paths(shape))
-        at = F.col("__shape") == shape
-        print_ = F.when(at, mark).otherwise(print_)
+    kind = records.schema[payload_col].dataType
+    turns, layout, print_col = F.lit(None).cast(TURNS), F.lit(None).cast("string"), "fingerprint"
+    if isinstance(kind, T.StructType):
+        mark = fingerprint(field_paths(kind))
         if mark in known:
-            name = F.when(at, known[mark]).otherwise(name)
-            turns = F.when(at, LAYOUTS[known[mark]][1](F.col("__v")).cast(TURNS)).otherwise(turns)
-    return v.withColumns({"fingerprint": print_, "layout": name, "turns": turns}).drop("__v", "__shape")
+            turns, layout = LAYOUTS[known[mark]][1](_Struct(column(payload_col))).cast(TURNS), F.lit(known[mark])
+        return records.withColumns({print_col: F.lit(mark), "layout": layout, "turns": turns})
+    parsed, shape = spare([*records.columns, print_col, "layout", "turns"], "parsed", "shape")
+    v = records.withColumn(parsed, F.try_parse_json(column(payload_col))).withColumn(shape, variant_shape(F.col(parsed)))
+    v = v.withColumn(print_col, _shape_print(F.col(shape)))
+    for mark, name in known.items():
+        at = F.col(print_col) == mark
+        layout = F.when(at, name).otherwise(layout)
+        turns = F.when(at, LAYOUTS[name][1](F.col(parsed)).cast(TURNS)).otherwise(turns)
+    return v.withColumns({"layout": layout, "turns": turns}).drop(parsed, shape)
 
 
 # ---- layouts of one row a turn --------------------------------------------------------------
@@ -145,11 +172,12 @@ ROW_LAYOUTS = {
 }
 
 
-def turns_of_rows(rows: DataFrame) -> DataFrame:
-    """``conv_id`` and ``turns`` of a table with one row a turn, its columns found by fingerprint.
+def records_of_rows(rows: DataFrame) -> DataFrame:
+    """``conv_id`` and ``record`` of a table with one row a turn, its columns found by fingerprint.
 
-    Extra columns are ignored if a known layout is contained. A conversation is one output
-    record, so its turns meet in one task; map-side nothing but role, text and order is sent.
+    The record nests the ``turns`` in order, role and text of each. Extra columns are ignored if a known
+    layout is contained. A conversation is one output record, so its turns meet in one task; map-side
+    nothing but role, text and order is sent.
     """
     have = set(field_paths(rows.schema))
     mark = fingerprint(sorted(have))
@@ -162,9 +190,13 @@ def turns_of_rows(rows: DataFrame) -> DataFrame:
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
     )
     ordered = F.array_sort(F.collect_list(turn_row))
-    return rows.groupBy(F.col(conv).alias("conv_id")).agg(
-        F.transform(ordered, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns")
-    )
+    turns = F.transform(ordered, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    return rows.groupBy(F.col(conv).alias("conv_id")).agg(F.struct(turns.alias("turns")).alias("record"))
+
+
+def turns_of_rows(rows: DataFrame) -> DataFrame:
+    """``conv_id``, ``fingerprint``, ``layout`` and ``turns`` of a table with one row a turn: its records by :func:`canonical`."""
+    return canonical(records_of_rows(rows), "record").drop("record")
 
 
 # ---- template -------------------------------------------------------------------------------

@@ -8,7 +8,8 @@ words are there to reach the threshold; what scores over it is a copy, edited on
 No text is shuffled. The test items are broadcast in blocks of a set size, one scan a block.
 
 Defined results: null or blank texts and items match nothing; items of fewer words than ``n`` can't be
-seeded and match nothing, nor does an edited copy that keeps no ``n`` words in a row; equal items are scored apart; repeated documents give repeated rows.
+seeded and match nothing, nor does an edited copy that keeps no ``n`` words in a row; equal items are scored apart; repeated documents give repeated rows; of places that tie in
+score the first counts; whole texts are scanned, however long; an empty table of documents or items gives no rows; other columns don't count.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-from keyfacet.llm.common import sliced
+from keyfacet.llm.common import column, sliced
 
 PUNCT = bytes(c for c in range(128) if not chr(c).isalnum())
 TO_SPACE = bytes.maketrans(PUNCT, b" " * len(PUNCT))
@@ -170,8 +173,8 @@ def find_leaks(
     taken in several blocks, each against all documents.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    item_type = items.schema[item_col].dataType.simpleString()
-    texts, out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), None
+    item_type = items.schema[item_col].dataType
+    texts, out = docs.select(column(id_col).alias("id"), column(text_col).alias("text")), None
     for index in _blocks(texts.sparkSession, items, item_col, item_text_col, n, block_items, block_chars):
         part = _aligned(texts, index, least, id_type, item_type)
         out = part if out is None else out.unionByName(part)
@@ -183,7 +186,7 @@ def find_leaks(
 def _blocks(spark: SparkSession, items: DataFrame, item_col: str, item_text_col: str, n: int, block_items: int, block_chars: int):
     """The broadcast index of each block of items, one block at a time."""
     context = spark.sparkContext
-    wanted = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).filter("text is not null")
+    wanted = items.select(column(item_col).alias("item"), column(item_text_col).alias("text")).filter("text is not null")
     count, chars = wanted.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     blocks = max(1, -(-count // block_items), -(-chars // block_chars))
     for k in range(blocks):
@@ -191,7 +194,9 @@ def _blocks(spark: SparkSession, items: DataFrame, item_col: str, item_text_col:
         yield context.broadcast(ItemIndex([tuple(r) for r in block], n))
 
 
-def _aligned(texts: DataFrame, index, least: float, id_type: str, item_type: str) -> DataFrame:
+def _aligned(texts: DataFrame, index, least: float, id_type: str, item_type: DataType) -> DataFrame:
+    kind = to_arrow_type(item_type)
+
     def run(batches):
         own = index.value
         for part in sliced(batches, GROUP):
@@ -199,12 +204,12 @@ def _aligned(texts: DataFrame, index, least: float, id_type: str, item_type: str
             if rows:
                 doc, item, score, count, start, end = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(doc, pa.int64())), pa.array(item), pa.array(score, pa.float64()),
+                    [part.column(0).take(pa.array(doc, pa.int64())), pa.array(item, kind), pa.array(score, pa.float64()),
                      pa.array(count, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32())],
                     names=["id", "item", "score", "n_seeds", "word_from", "word_to"],
                 )
 
-    return texts.mapInArrow(run, f"id {id_type}, item {item_type}, score double, n_seeds int, word_from int, word_to int")
+    return texts.mapInArrow(run, f"id {id_type}, item {item_type.simpleString()}, score double, n_seeds int, word_from int, word_to int")
 
 
 def drop_leaks(

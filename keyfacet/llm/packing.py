@@ -9,7 +9,7 @@ packed again, until every partition is certified or no bin is gained.
 Only numbers travel: token ids are reduced to length and CRC-32 where the text is read.
 
 Defined results: null or empty text is one piece with the closing id alone; repeated rows are
-separate documents; an empty table packs into nothing.
+separate documents; pieces of one length keep their order; an empty table packs into nothing; other columns don't count.
 """
 
 from __future__ import annotations
@@ -196,11 +196,12 @@ def lower_bound(counts: np.ndarray, capacity: int, most_k: int = 60) -> int:
     return best
 
 
-def pack(rows: DataFrame, capacity: int = 2048, per_partition: int = 50_000, max_rounds: int = 6, least_open: int = 256) -> DataFrame:
+def pack(rows: DataFrame, capacity: int = 2048, per_partition: int = 50_000, least_open: int = 256) -> DataFrame:
     """Add ``sequence_id``, ``offset`` and ``certified`` to rows with ``length`` and ``deal``.
 
     Partitions hold about ``per_partition`` pieces at any input size. Each round shuffles only
-    the bins that uncertified partitions released, so later rounds are far smaller.
+    the bins that uncertified partitions released, so later rounds are far smaller. Rounds end when all partitions
+    are certified or one gains no bin.
     """
     carried = [c for c in rows.columns if c != "deal"]
     kept_types = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carried)
@@ -212,7 +213,7 @@ def pack(rows: DataFrame, capacity: int = 2048, per_partition: int = 50_000, max
             lengths = t.column("length").to_numpy()
             where, offset, n = best_fit_decreasing(lengths, capacity)
             bucket = t.column("_bucket")[0].as_py()
-            base = (round_no << 58) + (bucket << 26)
+            base = (round_no << 52) + (bucket << 26)
             seq = base + where
             if round_no > 1:
                 old = t.column("sequence_id").to_numpy()
@@ -240,11 +241,10 @@ def pack(rows: DataFrame, capacity: int = 2048, per_partition: int = 50_000, max
     state = materialize(
         rows.withColumn("_bucket", F.pmod("deal", F.lit(parts))).groupBy("_bucket").applyInArrow(packer(1), schema), "packed1"
     )
-    closed = []
-    for round_no in range(2, max_rounds + 1):
-        released = state.filter("open")
-        if parts == 1 or not (n_open := released.count()):
-            break
+    closed, round_no = [], 1
+    bins = lambda rows: rows.filter("offset = 0").count()
+    while n_open := (released := state.filter("open")).count():
+        before, round_no = bins(released), round_no + 1
         closed.append(state.filter("not open"))
         parts = min(n_buckets(n_open, per_partition), max(1, parts // 2))
         state = materialize(
@@ -252,6 +252,8 @@ def pack(rows: DataFrame, capacity: int = 2048, per_partition: int = 50_000, max
             .groupBy("_bucket").applyInArrow(packer(round_no), schema),
             f"packed{round_no}",
         )
+        if bins(state) == before:
+            break
     for part in closed:
         state = state.unionByName(part)
     return state.drop("open")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyfacet.llm import chat, decontam, neardup, packing, pages, quality, rules, secrets, shards, substring
-from keyfacet.llm.common import materialize, table
+from keyfacet.llm.common import materialize, shared_dir, table
 
 
 def tokenizer_path() -> str:
@@ -58,13 +60,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str, n_shards: int = 16) -> DataFrame:
-    """All documents in 16 shards of nearly equal bytes."""
+    """All documents in 16 shards of nearly equal bytes, by a map of 12 shards that is rebalanced."""
     rows = materialize(shards.sized(table(spark, sf_dir, "documents")), "sizes")
     n_bytes, n_rows = shards.slot_totals(rows)
-    placed = shards.place(rows, shards.SlotMap.build(n_bytes, n_shards), n_rows)
+    # A first map for fewer shards, stored; then loaded, edited for ``n_shards``, stored as the next version, and used as stored.
+    path = f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    shards.SlotMap.build(n_bytes, max(1, n_shards * 3 // 4)).save(spark, path)
+    shards.SlotMap.load(spark, path).rebalance(n_bytes, n_shards, slack=0.0005).save(spark, path)
+    slots = shards.SlotMap.load(spark, path)
+    placed = shards.place(rows, slots, n_rows).withColumn("map_version", F.lit(slots.version))
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version",
     )
 
 

@@ -7,7 +7,8 @@ as one Spark conditional expression, so judging a row is plain column arithmetic
 
 Defined results: null or empty text has no words and fails the base rule; conflicting labels of a
 document drop it from training; without labelled rows of both classes the list is empty and
-only the base rule rejects.
+only the base rule rejects; repeated rows get equal verdicts; a word is all that stands between white space, however
+long; an empty table gives no rows; other columns, whatever their names, stay as they are and don't count.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyfacet.llm.common import sliced, words_of
+from keyfacet.llm.common import column, sliced, spare, words_of
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_stops", "n_distinct")
 WHITE = b" \t\n\r\x0b\x0c"
@@ -70,15 +71,15 @@ def add_counts(docs: DataFrame, text_col: str, keep: list[str], prefix: str = ""
     """``keep`` columns and the counts of every row; one Arrow pass, no shuffle."""
     names = [prefix + c for c in COUNTS]
     schema = ", ".join(
-        [*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} long" for c in names)]
+        [*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"`{c}` long" for c in names)]
     )
-    inner = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
+    inner = docs.select(*map(column, keep), column(text_col).alias(spare(keep, "text")[0]))
 
     def run(batches):
         for b in sliced(batches):
-            rows = np.array([text_counts(t) for t in b.column("__text").to_pylist()], np.int64).reshape(-1, len(COUNTS))
+            rows = np.array([text_counts(t) for t in b.column(len(keep)).to_pylist()], np.int64).reshape(-1, len(COUNTS))
             counts = [pa.array(rows[:, i]) for i in range(len(COUNTS))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *counts], [*keep, *names])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *counts], [*keep, *names])
 
     return inner.mapInArrow(run, schema)
 
@@ -245,5 +246,8 @@ def judge(docs: DataFrame, rules: list[Rule], id_cols: list[str], text_col: str
 
 def keep_good(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that neither the base rule nor the list rejects, with their columns."""
-    counted = add_counts(docs, text_col, docs.columns, "__")
-    return counted.filter(~base_failed("__") & rejects(rules, "__").isNull()).select(*docs.columns)
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    counted = add_counts(docs, text_col, docs.columns, prefix)
+    return counted.filter(~base_failed(prefix) & rejects(rules, prefix).isNull()).select(*map(column, docs.columns))

@@ -6,7 +6,8 @@ summed per slot, and the map from slots to shards is made from those sums alone:
 whose slot keeps its shard stay where they are.
 
 Defined results: null text has no bytes (size 1); null ids hash like any value; rows that are
-equal in id and text share a slot; an empty table has an empty layout.
+equal in id and text share a slot; rows that tie in a slot (id and size) go by CRC-32; only a text's size and CRC-32 go on, however
+long it is; an empty table has an empty layout; other columns don't count.
 """
 
 from __future__ import annotations

@@ -58,3 +58,25 @@ def test_layouts_by_fingerprint(spark):
     assert out[8]["layout"] == "prompt_completion" and [tuple(t) for t in out[8]["turns"]] == [("assistant", "a")]
     assert out[9]["turns"] is None and out[9]["layout"] is None and out[10]["turns"] is None and out[99]["turns"] is None
     assert out[0]["fingerprint"] == chat.fingerprint(["messages[].role", "messages[].content"])
+
+
+def test_struct_records_choose_a_mapping_by_type(spark):
+    nested = spark.createDataFrame([(1, ([("human", "q"), ("gpt", None)],))], "id long, r struct<conversations:array<struct<`from`:string,value:string>>>")
+    row = chat.canonical(nested, "r").first()
+    assert row["layout"] == "conversations" and [tuple(t) for t in row["turns"]] == [("user", "q"), ("assistant", None)]
+    flat = spark.createDataFrame([(1, ("p", "c"))], "id long, r struct<prompt:string,completion:string>")
+    assert [tuple(t) for t in chat.canonical(flat, "r").first()["turns"]] == [("user", "p"), ("assistant", "c")]
+    other = chat.canonical(spark.createDataFrame([(1, ("p",))], "id long, r struct<x:string>"), "r").first()
+    assert other["layout"] is None and other["turns"] is None and other["fingerprint"]
+
+
+def test_rows_nest_and_keep_their_roles(spark):
+    rows = spark.createDataFrame([(1, 1, "gpt", "x" * 300_000), (1, 0, "human", None), (1, 1, "gpt", "x" * 300_000)], "conv_id long, turn long, role string, text string")
+    out = chat.turns_of_rows(rows.withColumn("record", F.lit(1))).first()
+    assert out["layout"] == "turns" and [t["role"] for t in out["turns"]] == ["human", "gpt", "gpt"] and len(out["turns"][2]["text"]) == 300_000
+
+
+def test_many_layouts_in_one_table(spark):
+    rows = [(i, '{"k%d": 1}' % i) for i in range(300)] + [(300, '{"prompt": "a", "response": "b"}')]
+    out = chat.canonical(spark.createDataFrame(rows, "id long, payload string"))
+    assert out.select("fingerprint").distinct().count() == 301 and [r["id"] for r in out.filter("layout is not null").collect()] == [300]

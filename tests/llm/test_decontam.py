@@ -1,3 +1,5 @@
+import random
+
 from llm_fixtures import prose
 from pyspark.sql import functions as F
 
@@ -46,6 +48,36 @@ def test_edited_copy_of_an_item_in_a_third_of_the_documents(spark):
     assert decontam.find_leaks(docs.filter("doc_id = 60"), asked).count() == 1
 
 
+def plain_score(a, b):
+    row, best = [0] * (len(b) + 1), 0
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(max(0, row[j] + (2 if x == y else -1), row[j + 1] - 1, new[j] - 1))
+        best, row = max(best, *new), new
+    return best / (2 * len(a))
+
+
+def test_against_all_pairs(spark):
+    """Every document with every item by the plain table: seeds of three words lose no copy of these edits."""
+    rng = random.Random(6)
+    items = [(i, prose(950 + i, rng.randrange(12, 30))) for i in range(6)]
+    docs = []
+    for i in range(60):
+        words = items[i % 6][1].split()
+        for _ in range(rng.randrange(0, len(words) // 2)):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice([[], ["new"], [words[at], "more"]])
+            words = words or ["none"]
+        docs.append((i, prose(i, rng.randrange(5, 60)) + " " + " ".join(words) + " " + prose(70 + i, 9)))
+    split = lambda t: decontam.plain_words(t)
+    wanted = {(d, i): plain_score(split(item), split(text)) for d, text in docs for i, item in items}
+    wanted = {k: round(v, 6) for k, v in wanted.items() if v >= 0.5}
+    found = decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string"))
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in found.collect()}
+    assert 20 < len(wanted) < 60 and got == wanted
+
+
 def test_blocks_give_the_same(spark):
     docs = spark.createDataFrame([(i, prose(i, 20) + " " + prose(500 + i, 25)) for i in range(20)], "doc_id long, text string")
     items = spark.createDataFrame([(i, prose(500 + i, 25)) for i in range(20)], "item_id long, text string")
