@@ -3,7 +3,7 @@
 Each stage is a function of (spark, docs, sf_dir) that works on all rows the one before it kept; all
 but the last return the columns of ``documents``. Rows are handled as the operators define it: null
 and empty texts fail the quality rules, repeated rows are near duplicates of each other, an empty
-table passes through, and further columns of ``docs`` stay as they are.
+table passes through, and further columns of ``docs``, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from keyfacet.llm import decontam, neardup, packing, rules, secrets
-from keyfacet.llm.common import discard, materialize, table
+from keyfacet.llm.common import Located, discard, materialize, table
 from keyfacet.llm.queries import tokenizer_path
 
 
@@ -32,7 +32,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; secrets that aren't widely copied examples are replaced by their kind."""
-    return secrets.redact(docs, secrets.scan_secrets(docs))
+    at = Located(docs)
+    return secrets.redact(at, secrets.scan_secrets(at))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
