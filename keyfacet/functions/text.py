@@ -6,6 +6,8 @@ word class is letters, numbers, ``_`` and ``-``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +49,26 @@ def sentences(text: Column) -> Column:
     return F.when(text.rlike(r"[0-9]\."), folded).otherwise(plain)
 
 
+TOKEN_PY = re.compile(r"\w+|[^ \t\n\x0b\f\r\w]")
+_BREAK_PY, _HEAD_PY = re.compile(BREAK, re.A), re.compile(ENUMERATOR, re.A)
+_ENDS_PY = re.compile(f"^[{BLANK}]+|[{BLANK}]+\\Z")
+
+
+def sentences_of(text: str) -> list[str]:
+    """:func:`sentences` of one text in Python, for the SQL function."""
+    out, held = [], None
+    for piece in _BREAK_PY.split(text):
+        s = _ENDS_PY.sub("", piece)
+        if held is not None:
+            out.append(_ENDS_PY.sub("", f"{held} {s}"))
+            held = None
+        elif s and _HEAD_PY.match(s):
+            held = s
+        elif s:
+            out.append(s)
+    return out if held is None else [*out, held]
+
+
 def token_count(text: Column) -> Column:
     """Stand-in for a byte-pair tokenizer: runs of letters and digits, and single marks."""
     return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0))

@@ -5,10 +5,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from keyfacet.config import ChunkSettings
 from keyfacet.functions import lang as lg
 from keyfacet.functions import stem
 from keyfacet.functions import text as tx
 from keyfacet.functions.register import register
+from keyfacet.operators import chunk
 
 CASES = {
     "One. Two! Three?": ["One.", "Two!", "Three?"],
@@ -119,8 +121,14 @@ def test_languages(spark):
 def test_registered_names(spark):
     register(spark)
     assert spark.sql("select kf_stem('Running', 'en')").first()[0] == "run"
-    rows = spark.sql("select * from kf_chunks('# A\nx\n## B\ny')").collect()
+    rows = spark.sql("select * from kf_sections('# A\nx\n## B\ny')").collect()
     assert [(r["headers"], r["body"]) for r in rows] == [(["A"], "x"), (["A", "B"], "y")]
+    cases = spark.createDataFrame([(t,) for t in [*CASES, "One. Two! 1. item goes on. 2.5 is one\nnext", " 3. \u00a0x.\n\n", "é? à! 12. ü", "a.1. b. 2.", ""]], "t string")
+    assert all(r["a"] == r["b"] for r in cases.selectExpr("kf_sentences(t) a", "t").select("a", tx.sentences(F.col("t")).alias("b")).collect())
+    text = "# A\nOne two three. Four five six. Seven.\n## B\nshort"
+    rows = [tuple(r) for r in spark.sql(f"select * from kf_chunks('{text}', 5, 2)").collect()]
+    cut = chunk.chunks(spark.createDataFrame([(1, text)], "doc_id long, text string"), ChunkSettings(5, 2))
+    assert sorted(r[3] for r in rows) == sorted(r["text"] for r in cut.collect()) and rows[0][:3] == (0, 0, ["A"])
     assert [r["word"] for r in spark.sql("select * from kf_tokens('a-b c')").collect()] == ["a-b", "c"]
     spark.createDataFrame([([1.0, 0.0],), ([0.0, 1.0],)], "v array<double>").createOrReplaceTempView("kf_v")
     assert [round(x, 4) for x in spark.sql("select kf_mean_vector(v) from kf_v").first()[0]] == [0.7071, 0.7071]
