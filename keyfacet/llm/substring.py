@@ -2,11 +2,13 @@
 
 A window is ``size`` consecutive words. Every run of equal windows holds the same minimizer, the least
 hash among the short grams inside the window, so two documents that share a window share
-its fingerprint. The index keeps the fingerprints of windows that no earlier document had (about two of nine
-words) in sorted immutable runs, one a batch. A batch's own run is merge-joined with the runs before it,
-bucket by bucket; only windows around fingerprints that another document has too are compared, by 96
-bits of their own hashes, and only the texts of such documents travel: of the batch's, and of earlier ones
-that own a fingerprint. All others are settled where they are read. Runs of one level are compacted into one of the next.
+its fingerprint. The index keeps sorted immutable runs, one a batch, of two kinds of entries: a fingerprint (about two
+of nine words) that one document alone has, with its id; or a fingerprint that several have, which is open, and
+then the hashes of the windows around it. A batch's fingerprints are merge-joined with the runs before it, bucket by
+bucket; windows around shared ones are compared by 96 bits of their own hashes with each other and with the
+windows in the index. Only the texts of documents with a shared fingerprint travel: of the batch's, and of an earlier one
+when its fingerprint is met for the first time. All others are settled where they are read. Runs of one level are
+compacted into one of the next, where an open fingerprint replaces its single entries.
 
 A window is removed from a document if a document of a smaller id has it; batches come in the order of ids.
 Whole copies of a text are settled by the text's hash, without fingerprints. What a task can settle among
@@ -30,11 +32,12 @@ from pyspark.sql import functions as F
 from keyfacet.llm.common import Located, Marks, column, gathered, join_hot, materialize, mix64, shared_dir, sliced, spare, word_hashes, words_of
 
 SIZE, GRAM = 13, 6
-BATCH = 10_000
+BATCH = 4_000
 BUCKET_BYTES = 64 << 20
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 RUN = "bucket int, fps binary, docs binary"
 NEW, MANY, OLD = np.uint8(0), np.uint8(1), np.uint8(2)
+OPEN = np.iinfo(np.int64).min
 
 
 def window_hashes(h: np.ndarray, size: int, prime: np.uint64) -> np.ndarray:
@@ -134,31 +137,35 @@ def _pieces(fps: np.ndarray, docs: np.ndarray, buckets: int, most: int = 1 << 18
 
 
 def merge_runs(runs: DataFrame, buckets: int) -> DataFrame:
-    """Compact the pieces of several runs into longer sorted ones, each entry once."""
+    """Fingerprints of several runs as one: each entry once, and of an open fingerprint only that it is open."""
 
-    def run(batches):
-        at, fps, docs = None, [], []
-        size = 0
-        for b in batches:
-            for bucket, f, d in zip(*(b.column(c).to_pylist() for c in ("bucket", "fps", "docs"))):
-                if fps and (bucket != at or size > 1 << 20):
-                    yield from _distinct(np.concatenate(fps), np.concatenate(docs), buckets)
-                    fps, docs, size = [], [], 0
-                at = bucket
-                fps.append(np.frombuffer(f, np.uint64))
-                docs.append(np.frombuffer(d, np.int64))
-                size += len(fps[-1])
-        if fps:
-            yield from _distinct(np.concatenate(fps), np.concatenate(docs), buckets)
+    def merge(bucket, columns):
+        fps, docs = np.frombuffer(columns[0], np.uint64), np.frombuffer(columns[1], np.int64)
+        order = np.lexsort((docs, fps))
+        fps, docs = fps[order], docs[order]
+        start, group = _groups(fps)
+        first = np.zeros(len(fps), bool)
+        first[start] = True
+        fresh = first | (docs != np.roll(docs, 1))
+        keep = fresh & (first | (docs[start] != OPEN)[group])  # OPEN sorts before all ids
+        yield from _pieces(fps[keep], docs[keep], buckets, 1 << 20)
 
-    return runs.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, RUN)
+    return _merge_rows(runs, buckets, merge, RUN, "fps", "docs")
 
 
-def _distinct(fps: np.ndarray, docs: np.ndarray, buckets: int):
-    order = np.lexsort((docs, fps))
-    fps, docs = fps[order], docs[order]
-    new = np.concatenate([[True], (fps[1:] != fps[:-1]) | (docs[1:] != docs[:-1])])
-    yield from _pieces(fps[new], docs[new], buckets, 1 << 20)
+def merge_windows(runs: DataFrame, buckets: int) -> DataFrame:
+    """Windows of several runs, which have none in common, as one."""
+
+    def merge(bucket, columns):
+        h1, h2 = np.frombuffer(columns[0], np.uint64), np.frombuffer(columns[1], np.uint32)
+        order = np.argsort(h1, kind="stable")
+        yield _window_piece(bucket, h1[order], h2[order])
+
+    return _merge_rows(runs, buckets, merge, "bucket int, h1 binary, h2 binary", "h1", "h2")
+
+
+def _window_piece(bucket: int, h1: np.ndarray, h2: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([h1.tobytes()], pa.binary()), pa.array([h2.tobytes()], pa.binary())], names=["bucket", "h1", "h2"])
 
 
 def _by_doc(docs: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
@@ -181,6 +188,8 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def shared_fingerprints(run: DataFrame, old: DataFrame | None, buckets: int) -> DataFrame:
     """Merge-join of a batch's run with earlier ones: id, the fingerprints that the batch and another document share, ``old``.
 
+    Rows with ``old`` name earlier documents that alone had a fingerprint, and under the id ``OPEN`` the fingerprints opened now.
+
     A piece settles the fingerprints that several of its own documents have, and sends each fingerprint
     once, with one document and whether there are more: so one that a third of all documents hold
     costs an entry a piece. ``run`` should be written: it is read twice.
@@ -218,13 +227,18 @@ def shared_fingerprints(run: DataFrame, old: DataFrame | None, buckets: int) ->
         order = np.argsort(fps, kind="stable")
         fps, docs, kind = fps[order], docs[order], kind[order]
         start, group = _groups(fps)
-        several = np.logical_or.reduceat(kind == MANY, start) | (np.minimum.reduceat(docs, start) != np.maximum.reduceat(docs, start))
-        shared = (several & np.logical_or.reduceat(kind != OLD, start))[group]
-        for old in (False, True):
-            hit = shared & (kind == (OLD if old else NEW))
+        least, most = np.minimum.reduceat(docs, start), np.maximum.reduceat(docs, start)
+        was_open = least == OPEN
+        several = np.logical_or.reduceat(kind == MANY, start) | (least != most)
+        shared = several & np.logical_or.reduceat(kind != OLD, start)
+        for old, wanted in ((False, shared), (True, shared & ~was_open)):
+            hit = wanted[group] & (kind == (OLD if old else NEW))
             if hit.any():
                 found = _by_doc(docs[hit], fps[hit])
                 yield pa.RecordBatch.from_arrays([*found.columns, pa.array([old] * found.num_rows)], names=["id", "blob", "old"])
+        opened = fps[start][shared & ~was_open]
+        if len(opened):
+            yield pa.RecordBatch.from_arrays([pa.array([OPEN], pa.int64()), pa.array([opened.tobytes()], pa.binary()), pa.array([True])], names=["id", "blob", "old"])
 
     sent = run.mapInArrow(heads, "bucket int, fps binary, docs binary, kind binary")
     if old is not None:
@@ -321,16 +335,19 @@ def _compare(rows: DataFrame, buckets: int, want_text: bool) -> DataFrame:
                     continue
                 words = words_of(text)
                 cand = np.empty(0, np.int64)
-                if hint and len(words) >= SIZE:
+                if len(words) >= SIZE:
                     h = word_hashes(words)
                     least = minimizers(h)
-                    cand = np.flatnonzero(np.isin(least, np.concatenate(hint)))
+                    if hint:
+                        cand = np.flatnonzero(np.isin(least, np.concatenate(hint)))
                 if not len(cand):
                     if own:
                         out.result(row, id_, words)
                         if len(words) >= SIZE:
-                            out.index(id_, minimizers(word_hashes(words)))
+                            out.index(id_, least)
                     continue
+                if own and len(cand) < len(least):
+                    out.index(id_, np.delete(least, cand))
                 h1s.append(window_hashes(h, SIZE, P1)[cand])
                 h2s.append((window_hashes(h, SIZE, P2)[cand] >> np.uint64(32)).astype(np.uint32))
                 owners.append(np.full(len(cand), id_, np.int64))
@@ -359,7 +376,7 @@ def _compare(rows: DataFrame, buckets: int, want_text: bool) -> DataFrame:
 
 
 def _finish(rows: DataFrame, buckets: int, want_text: bool) -> DataFrame:
-    """Take the lost windows out of documents; the fingerprints of all their other windows go to the index."""
+    """Take the lost windows out of documents."""
 
     def run(batches):
         at, hint = None, []
@@ -372,14 +389,11 @@ def _finish(rows: DataFrame, buckets: int, want_text: bool) -> DataFrame:
                     hint.append(np.frombuffer(blob, np.uint64))
                     continue
                 words = words_of(text)
-                h = word_hashes(words)
                 fresh = np.ones(len(words) - SIZE + 1, bool)
                 fresh[np.frombuffer(done, np.uint32)] = False
                 if hint:
-                    fresh &= ~np.isin(window_hashes(h, SIZE, P1), np.concatenate(hint))
+                    fresh &= ~np.isin(window_hashes(word_hashes(words), SIZE, P1), np.concatenate(hint))
                 out.result(row, id_, words, covered(np.flatnonzero(~fresh), len(words)) if not fresh.all() else None)
-                if fresh.any():
-                    out.index(id_, minimizers(h)[fresh])
             yield from out.batches()
 
     return rows.mapInArrow(run, STAGE)
@@ -424,6 +438,23 @@ def _whole_numbers(docs: DataFrame, id_col: str) -> None:
         raise ValueError(f"{id_col} must be a whole number")
 
 
+def _as_open(batches):
+    for b in batches:
+        docs = [np.full(len(x) // 8, OPEN).tobytes() for x in b.column("h1").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("bucket"), b.column("h1"), b.column("h2"), pa.array(docs, pa.binary())], names=["bucket", "h1", "h2", "docs"])
+
+
+def _opened(buckets: int):
+    def run(batches):
+        for b in batches:
+            for blob in b.column("blob").to_pylist():
+                fps = np.frombuffer(blob, np.uint64)
+                for p in _pieces(fps, np.full(len(fps), OPEN), buckets):
+                    yield pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), *p.columns], names=["kind", "bucket", "h1", "docs"])
+
+    return run
+
+
 class FingerprintIndex:
     """Runs of fingerprints on disk, in levels: ``path/runs/level-number``; the newest file of ``path/versions`` lists those that count.
 
@@ -471,17 +502,18 @@ class FingerprintIndex:
         """(level, number) of each run."""
         return sorted(tuple(map(int, n.split("-"))) for n in self._version())
 
-    def _paths(self, names) -> list[str]:
-        return [f"{self.path}/runs/{n}/*" for n in names]
+    def _folders(self, names: list[str], windows: bool) -> list[str]:
+        return [f"{self.path}/runs/{n}/{k}" for n in names for k in self._listed(f"runs/{n}") if k.startswith("w") == windows]
 
-    def _read(self, names: list[str]) -> DataFrame | None:
-        if not names:
-            return None
-        return self.spark.read.schema("bucket int, h1 binary, docs binary").parquet(*self._paths(names)).withColumnRenamed("h1", "fps")
+    def fingerprints(self, names: list[str] | None = None) -> DataFrame | None:
+        """The pieces (bucket, fps, docs) of all runs, or of some."""
+        at = self._folders(self._version() if names is None else names, False)
+        return self.spark.read.schema("bucket int, h1 binary, docs binary").parquet(*at).withColumnRenamed("h1", "fps") if at else None
 
-    def entries(self) -> DataFrame | None:
-        """The pieces (bucket, fps, docs) of all runs."""
-        return self._read(self._version())
+    def windows(self, names: list[str] | None = None) -> DataFrame | None:
+        """The pieces (bucket, h1, h2) of all runs, or of some."""
+        at = self._folders(self._version() if names is None else names, True)
+        return self.spark.read.schema("bucket int, h1 binary, h2 binary").parquet(*at) if at else None
 
     def drop(self) -> None:
         self._fs.delete(self._at(), True)
@@ -527,7 +559,7 @@ class FingerprintIndex:
         copied = Marks(at, copies, "row")
         rest = shape(at.pick(copied, row, on=False), row).filter("id is not null")
         run = materialize(make_run(rest, self.buckets), "run")
-        hints = materialize(shared_fingerprints(run, self.entries(), self.buckets), "hints")
+        hints = materialize(shared_fingerprints(run, self.fingerprints(), self.buckets), "hints")
 
         # Rows of the batch with a hint, and earlier documents that own a shared fingerprint.
         own = keys.join(hints.filter("not old").select("id").distinct(), "id").select("row").join(copies, "row", "left_anti")
@@ -537,20 +569,31 @@ class FingerprintIndex:
         if history is not None:
             past = Located(history)
             old = past.numbered(row).select(column(row).alias("row"), column(id_col).cast("long").alias("id"))
-            owners = Marks(past, old.join(hints.filter("old").select("id").distinct(), "id").select("row"), "row")
+            owners = Marks(past, old.join(hints.filter("old").filter(F.col("id") != OPEN).select("id").distinct(), "id").select("row"), "row")
             texts = texts.unionByName(shape(past.pick(owners, row), row).select("row", "id", "text", null, F.lit(False).alias("own")))
         staged = self._stage(_compare(_with_hints(texts, hints.select("id", "blob")), self.buckets, want_text))
 
         def merge(bucket, columns):
             h1, h2, owner = np.frombuffer(columns[0], np.uint64), np.frombuffer(columns[1], np.uint32), np.frombuffer(columns[2], np.int64)
-            order = np.argsort(h1, kind="stable")
+            order = np.lexsort((owner, h2, h1))
             h1, h2, owner = h1[order], h2[order], owner[order]
-            lost = _first_owner(h1, h2, owner) < owner
+            new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+            first = owner[np.flatnonzero(new)][np.cumsum(new) - 1]
+            lost = first < owner
             if lost.any():
-                yield _by_doc(owner[lost], h1[lost])
-
-        lost = _merge_rows(self._kind([staged], 0, "bucket", "h1", "h2", "docs"), self.buckets, merge, "id long, blob binary", "h1", "h2", "docs")
-        lost = materialize(lost, "lost")
+                for b in (_by_doc(owner[lost], h1[lost]),):
+                    yield pa.RecordBatch.from_arrays([pa.array([2] * b.num_rows, pa.int32()), pa.array([None] * b.num_rows, pa.int32()), b.column(1), pa.array([None] * b.num_rows, pa.binary()), b.column(0)], names=["kind", "bucket", "h1", "h2", "id"])
+            fresh = new & (first != OPEN)  # not in the index yet
+            if fresh.any():
+                piece = _window_piece(bucket, h1[fresh], h2[fresh])
+                yield pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), *piece.columns, pa.array([None], pa.int64())], names=["kind", "bucket", "h1", "h2", "id"])
+
+        # Windows of the index come before all documents; of equal windows the least document keeps its own.
+        compared, known = self._kind([staged], 0, "bucket", "h1", "h2", "docs"), self.windows()
+        if known is not None:
+            compared = compared.unionByName(known.mapInArrow(_as_open, "bucket int, h1 binary, h2 binary, docs binary"))
+        merged = self._stage(_merge_rows(compared, self.buckets, merge, "kind int, bucket int, h1 binary, h2 binary, id long", "h1", "h2", "docs"))
+        lost = self._kind([merged], 2, "id", "h1").withColumnRenamed("h1", "blob")
         open_docs = self._kind([staged], 1, "row", "id", "text", "done").withColumn("own", F.lit(True))
         finished = self._stage(_finish(_with_hints(open_docs, lost), self.buckets, want_text))
 
@@ -560,22 +603,23 @@ class FingerprintIndex:
             .unionByName(_settle(shape(at.pick(copied, row), row), self.buckets, want_text, copies=True))
             .unionByName(_settle(shape(at.numbered(row), row).filter("id is null"), self.buckets, want_text, index=False))
         )
-        self._keep([staged, finished, settled])
+        opened = self._stage(hints.filter(F.col("id") == OPEN).select("blob").mapInArrow(_opened(self.buckets), "kind int, bucket int, h1 binary, docs binary"))
+        self._keep({"f0": staged, "f1": settled, "f2": opened, "w": merged})
         result = materialize(self._kind([staged, finished, settled], 2, "row", "id", "n", "removed", "kept"), "batch")
         self._fs.delete(self._at("stage"), True)
         self.compact()
         return result
 
-    def _keep(self, stages: list[str]) -> None:
-        """Move the run pieces of mixed tables to a run of the lowest level, a folder each, and commit it."""
+    def _keep(self, stages: dict[str, str]) -> None:
+        """Move the run pieces of mixed tables to folders of a run of the lowest level, and commit it."""
         have = self._version()
         name = f"0-{max((n for _, n in self.runs()), default=-1) + 1}"
         self._fs.delete(self._at("runs", name), True)  # what a lost writer left
         self._fs.mkdirs(self._at("runs", name))
-        for k, path in enumerate(stages):
+        for folder, path in stages.items():
             at = self._jvm.org.apache.hadoop.fs.Path(f"{path}/kind=3")
             if self._fs.exists(at):
-                self._fs.rename(at, self._at("runs", name, str(k)))
+                self._fs.rename(at, self._at("runs", name, folder))
         if self._listed(f"runs/{name}"):
             self._commit([*have, name])
 
@@ -591,8 +635,10 @@ class FingerprintIndex:
                 level += 1
                 continue
             gone = [f"{level}-{n}" for n in own]
-            merged = merge_runs(self._read(gone), self.buckets)
             name = f"{level + 1}-{max(n for _, n in have) + 1}"
-            merged.withColumnRenamed("fps", "h1").write.mode("overwrite").parquet(f"{self.path}/runs/{name}/0")
+            if (fps := self.fingerprints(gone)) is not None:
+                merge_runs(fps, self.buckets).withColumnRenamed("fps", "h1").write.mode("overwrite").parquet(f"{self.path}/runs/{name}/f0")
+            if (windows := self.windows(gone)) is not None:
+                merge_windows(windows, self.buckets).write.mode("overwrite").parquet(f"{self.path}/runs/{name}/w")
             self._commit([n for n in self._version() if n not in gone] + [name])
             level += 1
