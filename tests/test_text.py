@@ -132,3 +132,18 @@ def test_registered_names(spark):
     assert [r["word"] for r in spark.sql("select * from kf_tokens('a-b c')").collect()] == ["a-b", "c"]
     spark.createDataFrame([([1.0, 0.0],), ([0.0, 1.0],)], "v array<double>").createOrReplaceTempView("kf_v")
     assert [round(x, 4) for x in spark.sql("select kf_mean_vector(v) from kf_v").first()[0]] == [0.7071, 0.7071]
+
+
+@pytest.mark.parametrize(
+    "lang, words",
+    [
+        ("sv", {"jaktkarlarne": "jaktkarl", "jaktkarlens": "jaktkarl", "kloka": "klok", "klokheten": "klok", "friskt": "frisk"}),
+        ("no", {"havnedistriktene": "havnedistrikt", "havnemyndigheten": "havnemynd", "oppdagelse": "oppdag", "opning": "opning"}),
+        ("da", {"indtages": "indtag", "indtager": "indtag", "undersøgelser": "undersøg", "indtrykket": "indtryk"}),
+        ("nl", {"lichamelijkheden": "licham", "lichaam": "licham", "brood": "brod", "opgooien": "opgooi", "opheffen": "opheff"}),
+        ("it", {"abbandonata": "abbandon", "abbattimento": "abbatt", "abbellire": "abbell", "propriamente": "propr", "pronta": "pront"}),
+        ("pt", {"boatos": "boat", "quilométricas": "quilométr", "químico": "químic", "quintuplicou": "quintuplic", "quinzena": "quinzen"}),
+    ],
+)
+def test_stemmers_of_further_languages(lang, words):
+    assert {w: stem.stem(w, lang) for w in words} == words
