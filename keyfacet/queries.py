@@ -405,7 +405,11 @@ ENGINE_QUERIES = [(1, "thanan theshe reinou", None), (2, "", None), (3, "?", Non
 def _engine(spark, d):
     from keyfacet.plans.engine import Engine
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="keyfacet-index-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="keyfacet-index-")
     import uuid
 
     settings = EngineSettings(graph=GraphSettings(edge_score=0.5, expand_score=0.5), language="en")
