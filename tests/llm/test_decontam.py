@@ -59,23 +59,27 @@ def plain_score(a, b):
 
 
 def test_against_all_pairs(spark):
-    """Every document with every item by the plain table: seeds of three words lose no copy of these edits."""
+    """Every document with every item by the plain table; seeding finds all but 2 % of the pairs over the threshold.
+
+    What it misses are copies edited so often that no three words in a row are left.
+    """
     rng = random.Random(6)
     items = [(i, prose(950 + i, rng.randrange(12, 30))) for i in range(6)]
     docs = []
-    for i in range(60):
+    for i in range(240):
         words = items[i % 6][1].split()
-        for _ in range(rng.randrange(0, len(words) // 2)):
+        for _ in range(rng.randrange(0, len(words))):
             at = rng.randrange(len(words))
             words[at : at + 1] = rng.choice([[], ["new"], [words[at], "more"]])
             words = words or ["none"]
         docs.append((i, prose(i, rng.randrange(5, 60)) + " " + " ".join(words) + " " + prose(70 + i, 9)))
-    split = lambda t: decontam.plain_words(t)
-    wanted = {(d, i): plain_score(split(item), split(text)) for d, text in docs for i, item in items}
-    wanted = {k: round(v, 6) for k, v in wanted.items() if v >= 0.5}
+    plain = {k: decontam.plain_words(t) for k, t in [*((("d", d), t) for d, t in docs), *((("i", i), t) for i, t in items)]}
+    scores = {(d, i): round(plain_score(plain["i", i], plain["d", d]), 6) for d, _ in docs for i, _ in items}
+    wanted = {k: v for k, v in scores.items() if v >= 0.5}
     found = decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string"))
     got = {(r["doc_id"], r["item_id"]): r["score"] for r in found.collect()}
-    assert 20 < len(wanted) < 60 and got == wanted
+    assert 100 < len(wanted) < 239 and got.items() <= wanted.items()
+    assert len(got) >= 0.98 * len(wanted)
 
 
 def test_blocks_give_the_same(spark):
