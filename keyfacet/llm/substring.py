@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfacet.llm.common import Located, Marks, column, gathered, join_hot, materialize, mix64, shared_dir, sliced, spare, word_hashes, words_of
+from keyfacet.llm.common import Located, Marks, column, gathered, join_hot, materialize, mix64, release_memory, shared_dir, sliced, spare, word_hashes, words_of
 
 SIZE, GRAM = 13, 6
-BATCH = 4_000
-BUCKET_BYTES = 64 << 20
+BATCH = 2_000
+BUCKET_BYTES = 16 << 20
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 RUN = "bucket int, fps binary, docs binary"
 NEW, MANY, OLD = np.uint8(0), np.uint8(1), np.uint8(2)
@@ -89,7 +89,7 @@ def _merge_rows(df: DataFrame, n: int, merge, schema: str, *names: str) -> DataF
 
     def run(batches):
         at, held = None, []
-        for b in batches:
+        for b in sliced(batches, 100):
             columns = [b.column(c).to_pylist() for c in ("bucket", *names)]
             for bucket, *blobs in zip(*columns):
                 if bucket != at and held:
@@ -99,6 +99,8 @@ def _merge_rows(df: DataFrame, n: int, merge, schema: str, *names: str) -> DataF
                 held.append(blobs)
         if held:
             yield from merge(at, [b"".join(x) for x in zip(*held)])
+        held.clear()
+        release_memory()
 
     return df.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
