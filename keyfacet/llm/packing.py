@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from keyfacet.llm.common import materialize, mix64, n_buckets, sliced, worker_cache
 
 TAIL = b".,|!?;:$%&*#-"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 SEEN = 1 << 24
 SLICE = 1000
 
