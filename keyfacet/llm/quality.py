@@ -10,7 +10,8 @@ Only a bounded sample of labelled rows reaches the driver, as hashed features. S
 texts in one Arrow pass with two arrays of ``DIMS`` numbers; nothing is shuffled.
 
 Defined results: null, empty and blank texts have no features and score by the bias alone; without rows of both
-classes every score is the share of label 1 (0.5 without labels); conflicting labels drop a document.
+classes every score is the share of label 1 (0.5 without labels); conflicting labels drop a document; repeated rows count
+once in training and get equal scores; whole texts are read, however long; an empty table gives no rows; other columns don't count.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ owners. A value that many owners hold is a copied example; one that a single own
 looks live. Wide candidates become spans only if they look live; base ones always stay.
 
 Defined results: null text counts as empty; null owner or repository is one owner or
-repository of its own; repeated rows are separate rows with equal results.
+repository of its own; repeated rows are separate rows with equal results, each a use of its values; of spans that begin at
+one place the kind decides the order; whole texts are scanned, however long; an empty table gives no rows; columns besides those
+named, whatever their names, stay as they are and don't count.
 """
 
 from __future__ import annotations
