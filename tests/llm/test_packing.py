@@ -31,6 +31,70 @@ def test_word_cache_equals_the_tokenizer(texts):
         assert got == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+LETTERS = "".join(c for c in map(chr, range(0x180)) if c.isalpha())
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(LETTERS + "ΣſﬁＡ́ ,!", max_size=40), max_size=5))
+def test_latin_words_equal_the_tokenizer(texts):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    own = packing.WordTokenizer(tokenizer_path())
+    texts = [*texts, " ".join(a + b for a in LETTERS for b in "aÀß"), LETTERS]
+    for t, got in zip(texts, own.encode(texts)):
+        assert got == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+class Watched:
+    """A tokenizer that notes what it is given."""
+
+    def __init__(self, tok):
+        self.tok, self.given = tok, []
+
+    def encode_batch_fast(self, words, **how):
+        self.given += words
+        return self.tok.encode_batch_fast(words, **how)
+
+
+def empty_cache(path):
+    own = packing.WordTokenizer(path)
+    own.ids, own.seen = {}, bytearray(packing.SEEN)
+    return own
+
+
+def test_latin_words_skip_the_normalizer(tok):
+    own = empty_cache(tokenizer_path())
+    own.tok = Watched(tok)
+    text = "Plain WORDS and Straße CAFÉ Ærø"
+    (got,) = own.encode([text])
+    assert own.tok.given == [] and got == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_other_normalizers_are_not_skipped(tmp_path):
+    from tokenizers import Regex, Tokenizer, normalizers
+
+    path, tok = str(tmp_path / "other.json"), Tokenizer.from_file(tokenizer_path())
+    tok.normalizer = normalizers.Sequence([normalizers.Replace(Regex("oe"), "é"), normalizers.Lowercase()])
+    tok.save(path)
+    text = "coeur Foehn élan, ÉTÉ"
+    assert empty_cache(path).encode([text])[0] == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_a_full_cache_keeps_the_words_in_use(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 300)
+    own, learned, sizes = empty_cache(tokenizer_path()), [], []
+    learn = own.learn
+    own.learn = lambda new: learned.append(new) or learn(new)
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    hot = {word(i).encode() for i in range(100)}
+    for k in range(12):  # every word but the hot ones is in two texts
+        own.encode([" ".join(word(i) for i in [*range(100), *range(100 + 50 * k, 200 + 50 * k)])])
+        sizes.append(len(own.ids))
+    assert not hot & set().union(*learned[2:])
+    assert max(sizes) <= 300
+
+
 def check(packed, docs, tok, capacity):
     rows = packed.collect()
     assert len(rows) == len({(r["sequence_id"], r["offset"]) for r in rows})
