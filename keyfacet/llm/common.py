@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -79,24 +80,45 @@ def discard(df: DataFrame) -> None:
 
 
 def worker_cache(name: str) -> dict:
-    """A dict that lives as long as the Python worker, whatever task uses it."""
+    """A dict that lives in the Python worker until :func:`forget` drops it, whatever task uses it."""
     return sys.__dict__.setdefault("_keyfacet_cache", {}).setdefault(name, {})
 
 
-def sliced(batches, rows: int = 1000):
+def forget(keep: str | None = None) -> None:
+    """Drop the worker's caches but ``keep``, and give their memory back: the tasks that used them are over."""
+    held = sys.__dict__.get("_keyfacet_cache", {})
+    if over := [name for name in held if name != keep]:
+        for name in over:
+            del held[name]
+        release_memory()
+
+
+def sliced(batches, rows: int = 1000, text: int | None = None, most: int = 1 << 20, keep: str | None = None):
     """Arrow batches in parts of at most ``rows`` rows; at the end of a task its free memory is given back.
 
     A worker outlives its tasks and keeps what they touched, so unreturned memory of one stage
-    would add to that of the next.
+    would add to that of the next. For the same reason caches of other stages are dropped, all but ``keep``.
+    ``text``: the column of which a part holds at most ``most`` bytes, or one row.
     """
+    forget(keep)
     try:
         for b in batches:
-            for i in range(0, b.num_rows, rows):
-                yield b.slice(i, rows)
+            i, size = 0, _ends(b.column(text)) if text is not None else None
+            while i < b.num_rows:
+                end = i + rows
+                if size is not None:
+                    end = min(end, max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + most, "right"))))
+                yield b.slice(i, end - i)
+                i = end
     finally:
         release_memory()
 
 
+def _ends(texts: pa.Array) -> np.ndarray:
+    """Bytes of the texts up to and with each; null: none."""
+    return np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+
+
 def gathered(batches, rows: int):
     """Arrow batches put together to ``rows`` rows or a little more; memory as in :func:`sliced`."""
     held: list[pa.RecordBatch] = []
@@ -225,8 +247,9 @@ class Located:
         self.docs = docs if plain_scan(docs) else materialize(docs, "located")
         self.columns = self.docs.columns
         paths = sorted({f.replace(":///", ":/") for f in self.docs.inputFiles()})
-        schema = "__no long, __path string"
-        self.files = docs.sparkSession.createDataFrame(list(enumerate(paths)), schema)
+        # From Arrow: rows given as Python objects would start a second set of Python workers on every executor.
+        listed = pa.table({"__no": pa.array(range(len(paths)), pa.int64()), "__path": pa.array(paths, pa.string())})
+        self.files = docs.sparkSession.createDataFrame(listed)
 
     def path(self) -> Column:
         return F.replace(self.docs.metadataColumn("_metadata")["file_path"], F.lit(":///"), F.lit(":/"))

@@ -47,7 +47,7 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
-        state = worker_cache("tokenizer:" + path)
+        state = worker_cache(cache_name(path))
         if not state:
             import os
 
@@ -67,7 +67,9 @@ class WordTokenizer:
 
     def _one(self, words: list[str]) -> list[bytes]:
         return [
-            np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)
+            np.array(e.ids, "<u4").tobytes()
+            for i in range(0, len(words), 500)  # what the tokenizer returns takes far more than the ids
+            for e in self.tok.encode_batch_fast(words[i : i + 500], add_special_tokens=False)
         ]
 
     def _plain(self, words: list[str], tok) -> list[bytes]:
@@ -142,6 +144,10 @@ class WordTokenizer:
         return out
 
 
+def cache_name(path: str) -> str:
+    return "tokenizer:" + path
+
+
 def lowers_only(normalizer) -> bool:
     """Whether a normalizer does no more than NFC, lower case and white space to one blank."""
     state = json.loads(normalizer.__getstate__()) if normalizer else {}
@@ -157,7 +163,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
 
     def run(batches):
         tok, task, seen = WordTokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
-        for part in sliced(batches, SLICE):
+        for part in sliced(batches, SLICE, text=1, keep=cache_name(tokenizer_path)):
             row, piece, start, length, crc = [], [], [], [], []
             for i, raw in enumerate(tok.encode(part.column(1).to_pylist())):
                 raw += end

@@ -1,12 +1,13 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from keyfacet.llm import packing
+from keyfacet.llm import common, packing
 from keyfacet.llm.queries import tokenizer_path
 
 
@@ -161,3 +162,29 @@ def test_bound_never_exceeds_the_optimum(sizes):
     counts = np.bincount(items, minlength=31)
     _, _, n = packing.best_fit_decreasing(np.array(sizes), 30)
     assert packing.lower_bound(counts, 30) <= best <= n
+
+
+def test_slices_hold_few_bytes_of_text():
+    texts = ["a" * 300, None, "é" * 200, "b" * 2000, "", "c" * 500, "d" * 500, "e" * 2]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], names=["doc_id", "text"])
+    parts = [p.column(1).to_pylist() for b in (batch, batch.slice(3), batch.slice(8)) for p in common.sliced([b], 5, text=1, most=1000)]
+    assert parts == [texts[:3], texts[3:4], texts[4:7], texts[7:], texts[3:4], texts[4:7], texts[7:]]
+
+
+def test_other_stages_drop_the_tokenizer():
+    own = packing.WordTokenizer(tokenizer_path())
+    own.encode(["some words, some words"])
+    name, batch = packing.cache_name(tokenizer_path()), pa.RecordBatch.from_arrays([pa.array(["x"])], names=["text"])
+    list(common.sliced([batch], keep=name))
+    assert common.worker_cache(name)["ids"] is own.ids
+    list(common.sliced([batch]))
+    assert not common.worker_cache(name)
+
+
+def test_file_numbers_need_no_python_workers(spark, tmp_path):
+    spark.range(10).write.parquet(str(tmp_path / "t"))
+    spark.range(0).write.parquet(str(tmp_path / "none"))
+    at, none = (common.Located(spark.read.parquet(str(tmp_path / x))) for x in ("t", "none"))
+    assert "LocalRelation" in at.files._jdf.queryExecution().optimizedPlan().toString()
+    assert at.files.dtypes == [("__no", "bigint"), ("__path", "string")]
+    assert at.numbered("row").select("row").distinct().count() == 10 and none.numbered("row").count() == 0
