@@ -20,6 +20,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,9 @@ from keyfacet.llm.common import materialize, mix64, n_buckets, sliced, worker_ca
 
 TAIL = b".,|!?;:$%&*#-"
 LATIN = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ÿ]+").fullmatch  # letters whose lower case is one letter of this range, in NFC
+LETTERS = frozenset(chr(c) for c in range(256) if chr(c).isalpha())
+KINDS = np.array([1 if chr(c) in LETTERS else 2 if 48 <= c < 58 else 3 if 32 < c < 127 and c != 39 else 0 for c in range(256)], np.uint8)
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CACHE_WORDS = 250_000
 SEEN = 1 << 24
 SLICE = 1000
@@ -44,6 +48,10 @@ class WordTokenizer:
 
     Lower-case Latin words skip the normalizer, over a third of the tokenizer's time, if the file's
     normalizer is known to leave them as they are.
+
+    If the file's pre-tokenizer is known too, Latin-1 texts are lowered and cut between letters, digits and
+    punctuation before they are looked up, so that a word has one entry whatever its case and what it stands next to. These
+    entries are strings, the others bytes of UTF-8.
     """
 
     def __init__(self, path: str):
@@ -62,14 +70,17 @@ class WordTokenizer:
             if lowers_only(tok.normalizer):
                 bare = Tokenizer(tok.model)  # shares the model
                 bare.pre_tokenizer = tok.pre_tokenizer
-            state |= {"tok": tok, "bare": bare, "ends": ends, "ids": {}, "seen": bytearray(SEEN)}
-        self.tok, self.bare, self.ends, self.ids, self.seen = (state[k] for k in ("tok", "bare", "ends", "ids", "seen"))
+            whole = None
+            if bare and splits_kinds(tok.pre_tokenizer):  # what a text that is cut must not hold: added tokens, and the mark between texts
+                whole = [*(t.content.lower() for t in tok.get_added_tokens_decoder().values()), "\x1c"]
+            state |= {"tok": tok, "bare": bare, "whole": whole, "ends": ends, "ids": {}, "seen": bytearray(SEEN)}
+        self.tok, self.bare, self.whole, self.ends, self.ids, self.seen = (state[k] for k in ("tok", "bare", "whole", "ends", "ids", "seen"))
 
-    def _one(self, words: list[str]) -> list[bytes]:
+    def _one(self, words: list[str], tok=None) -> list[bytes]:
         return [
             np.array(e.ids, "<u4").tobytes()
             for i in range(0, len(words), 500)  # what the tokenizer returns takes far more than the ids
-            for e in self.tok.encode_batch_fast(words[i : i + 500], add_special_tokens=False)
+            for e in (tok or self.tok).encode_batch_fast(words[i : i + 500], add_special_tokens=False)
         ]
 
     def _plain(self, words: list[str], tok) -> list[bytes]:
@@ -80,17 +91,26 @@ class WordTokenizer:
             ids = np.array(tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(part) or (len(stops) and stops[-1] != len(ids)):
-                out += self._one(part)
+                out += self._one(part, tok)
             else:
                 raw = ids.tobytes()
                 out += [raw[a * 4 : b * 4] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist())]
         return out
 
-    def learn(self, new: set[bytes]) -> set[bytes]:
+    def learn(self, new: set) -> set:
         """Add words to the cache: a word of letters and what it may end in, or any other word.
 
         Returns all that was added, the parts of words included.
         """
+        lowered = {w for w in new if type(w) is str}
+        if lowered:
+            plain = [w for w in lowered if w.isalpha()]
+            odd = [w for w in lowered if not w.isalpha()]
+            self.ids.update(zip(plain, self._plain(plain, self.bare)))
+            self.ids.update(zip(odd, self._one(odd, self.bare)))
+        return lowered | self._learn_raw(new - lowered) if len(lowered) < len(new) else lowered
+
+    def _learn_raw(self, new: set[bytes]) -> set[bytes]:
         ids, made, cores, letters, tails, odd = self.ids, [], set(), set(), set(), []
         for raw in new:
             core = raw.rstrip(TAIL)
@@ -126,11 +146,26 @@ class WordTokenizer:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         ids, seen = self.ids, self.seen
-        split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
+        cut = [(i, low) for i, t in enumerate(texts) if (low := self._lowered(t)) is not None]
+        split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts] if len(cut) < len(texts) else []
+        for i, _ in cut:
+            if split:
+                split[i] = []
         used = set().union(*split)
+        if cut:
+            words = pc.ascii_split_whitespace(pa.array(apart("\x1c".join(low for _, low in cut)).split("\x1c"), pa.string()))
+            coded = words.flatten().dictionary_encode()
+            distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            used.update(distinct)
         new = used.difference(ids)
         added = self.learn(new) if new else ()
-        out = [b"".join(map(ids.__getitem__, words)) for words in split]
+        out = [b"".join(map(ids.__getitem__, words)) for words in split] or [b""] * len(texts)
+        if cut:
+            found = pa.array([ids[w] for w in distinct], pa.large_binary()).take(coded.indices)
+            ends = np.frombuffer(found.buffers()[1], np.int64)[words.offsets.to_numpy()].tolist()
+            raw = memoryview(found.buffers()[2])
+            for (i, _), a, b in zip(cut, ends, ends[1:]):
+                out[i] = bytes(raw[a:b])
         for word in added:
             at = hash(word) % SEEN
             if not seen[at]:
@@ -143,6 +178,14 @@ class WordTokenizer:
             seen[:] = bytes(SEEN)
         return out
 
+    def _lowered(self, text: str | None) -> str | None:
+        """The text in lower case if it may be cut."""
+        if text and self.whole is not None and latin1(text):
+            low = text.lower()
+            if not any(x in low for x in self.whole):
+                return low
+        return None
+
 
 def cache_name(path: str) -> str:
     return "tokenizer:" + path
@@ -156,6 +199,37 @@ def lowers_only(normalizer) -> bool:
     return {"type": "Lowercase"} in parts and all(p in ({"type": "NFC"}, {"type": "Lowercase"}, blank) for p in parts)
 
 
+def splits_kinds(pre_tokenizer) -> bool:
+    """Whether a pre-tokenizer is the one that parts letters, digits and other characters, but for letters after an apostrophe."""
+    state = json.loads(pre_tokenizer.__getstate__()) if pre_tokenizer else {}
+    split = {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}
+    level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    return state.get("pretokenizers") == [split, level]
+
+
+def latin1(text: str) -> bool:
+    """Whether all characters are below 256: NFC leaves them, and each has one lower-case letter of this range."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def apart(low: str) -> str:
+    """A Latin-1 text with a blank wherever letters, digits or ASCII punctuation meet; none beside an apostrophe."""
+    raw = np.frombuffer(low.encode("latin-1"), np.uint8)
+    kind = KINDS[raw]
+    at = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
+    out = np.full(len(raw) + len(at), 32, np.uint8)
+    old = np.ones(len(out), bool)
+    old[at + np.arange(len(at))] = False
+    out[old] = raw
+    return out.tobytes().decode("latin-1")
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a piece: id, ``piece``, ``start``, ``length``, ``ids_crc32`` and a ``deal`` number."""
     end = end_id.to_bytes(4, "little")

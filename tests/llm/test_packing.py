@@ -96,6 +96,50 @@ def test_a_full_cache_keeps_the_words_in_use(monkeypatch):
     assert max(sizes) <= 300
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(st.characters(max_codepoint=255) | st.sampled_from("'sStre.,-1 <|>\x1c\x85\xa0"), max_size=40), max_size=5), st.booleans())
+def test_cut_texts_equal_the_tokenizer(texts, beyond):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    own = packing.WordTokenizer(tokenizer_path())
+    texts = [*texts, "don't DON'T dogs'.x x.'s a-b (c),'d 12ab3.4 <|ENDOFTEXT|> É,é×÷²ª", "<|endoftext|>A,b", *(["ſA,b Word, word"] if beyond else [])]
+    for t, got in zip(texts, own.encode(texts)):
+        assert got == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_a_word_has_one_entry_whatever_stands_next_to_it():
+    own, learned = empty_cache(tokenizer_path()), []
+    learn = own.learn
+    own.learn = lambda new: learned.append(new) or learn(new)
+    own.encode(["Word word, WORD. (word) word-word, Café café! CAFÉ12"])
+    assert learned == [{"word", "café", ",", ".", "(", ")", "-", "!", "12"}]
+
+
+def test_other_pre_tokenizers_are_not_cut(tmp_path):
+    from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+    path, tok = str(tmp_path / "other.json"), Tokenizer.from_file(tokenizer_path())
+    split = pre_tokenizers.Split(Regex(r"\p{L}+-\p{L}+|\S"), "removed", invert=True)
+    tok.pre_tokenizer = pre_tokenizers.Sequence([split, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    tok.save(path)
+    assert empty_cache(path).encode(["well-known a-b"])[0] == np.array(tok.encode("well-known a-b", add_special_tokens=False).ids, "<u4").tobytes()
+
+
+@pytest.mark.parametrize("also", ["", " ſ"])
+def test_a_full_cache_keeps_cut_and_whole_words_in_use(monkeypatch, also):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 300)
+    own, learned, sizes = empty_cache(tokenizer_path()), [], []
+    learn = own.learn
+    own.learn = lambda new: learned.append(new) or learn(new)
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    for k in range(12):
+        own.encode([" ".join(word(i) for i in [*range(100), *range(100 + 50 * k, 200 + 50 * k)]) + also])
+        sizes.append(len(own.ids))
+    hot = {word(i).encode() if also else word(i) for i in range(100)}
+    assert hot <= learned[0] and not hot & set().union(*learned[2:]) and max(sizes) <= 300
+
+
 def check(packed, docs, tok, capacity):
     rows = packed.collect()
     assert len(rows) == len({(r["sequence_id"], r["offset"]) for r in rows})
