@@ -107,7 +107,7 @@ def sliced(batches, rows: int = 1000, text: int | None = None, most: int = 1 <<
             while i < b.num_rows:
                 end = i + rows
                 if size is not None:
-                    end = min(end, max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + most, "right"))))
+                    end = min(end, _fits(size, i, most))
                 yield b.slice(i, end - i)
                 i = end
     finally:
@@ -119,6 +119,20 @@ def _ends(texts: pa.Array) -> np.ndarray:
     return np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
 
 
+def _fits(size: np.ndarray, i: int, most: int) -> int:
+    """The end of the part from ``i`` on that holds at most ``most`` bytes, or one text."""
+    return max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + most, "right")))
+
+
+def text_parts(texts: pa.Array, most: int):
+    """A column of texts in parts of at most ``most`` bytes, or one text."""
+    i, size = 0, _ends(texts)
+    while i < len(texts):
+        end = _fits(size, i, most)
+        yield texts.slice(i, end - i)
+        i = end
+
+
 def gathered(batches, rows: int):
     """Arrow batches put together to ``rows`` rows or a little more; memory as in :func:`sliced`."""
     held: list[pa.RecordBatch] = []
@@ -139,6 +153,9 @@ def release_memory() -> None:
     import gc
 
     gc.collect()
+    if not sys.__dict__.setdefault("_keyfacet_frozen", False):
+        gc.freeze()  # imported modules: later collections, a few a task, leave them out; what isn't in a cycle is freed as ever
+        sys.__dict__["_keyfacet_frozen"] = True
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

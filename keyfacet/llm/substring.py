@@ -26,10 +26,11 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfacet.llm.common import Located, Marks, column, gathered, join_hot, materialize, mix64, release_memory, shared_dir, sliced, spare, word_hashes, words_of
+from keyfacet.llm.common import Located, Marks, column, gathered, join_hot, materialize, mix64, release_memory, shared_dir, sliced, spare, text_parts, word_hashes
 
 SIZE, GRAM = 13, 6
 BATCH = 2_000
@@ -38,6 +39,8 @@ P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 RUN = "bucket int, fps binary, docs binary"
 NEW, MANY, OLD = np.uint8(0), np.uint8(1), np.uint8(2)
 OPEN = np.iinfo(np.int64).min
+PART = 2 << 20
+BLANKS = bytes(32 if 9 <= c <= 13 else c for c in range(256))
 
 
 def window_hashes(h: np.ndarray, size: int, prime: np.uint64) -> np.ndarray:
@@ -62,6 +65,51 @@ def minimizers(h: np.ndarray, size: int = SIZE, gram: int = GRAM) -> np.ndarray:
     return out
 
 
+class Text:
+    """A text's bytes, the hashes of its words and, of a long one, the fingerprint of each window."""
+
+    __slots__ = ("raw", "h", "least", "single")
+
+    def __init__(self, raw: bytes, h: np.ndarray, least: np.ndarray, single: bool):
+        self.raw, self.h, self.least, self.single = raw, h, least, single
+
+    def words(self) -> list[bytes]:
+        return self.raw.split()
+
+    def joined(self) -> bytes:
+        """The words with a blank between them."""
+        return self.raw.translate(BLANKS) if self.single else b" ".join(self.words())
+
+
+def read_texts(column_: pa.Array, fingerprints: bool = True):
+    """A :class:`Text` for each text of an Arrow column, null as an empty one, some MB at a time.
+
+    Each distinct word of a part is hashed once. Windows over the end of a text are computed too, and left out.
+    """
+    none = np.empty(0, np.uint64)
+    for part in text_parts(column_, PART):
+        part = pc.fill_null(part, "")
+        lists = pc.ascii_split_whitespace(part)
+        flat = lists.flatten()
+        coded = flat.dictionary_encode()
+        h = word_hashes(coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+        size = pc.binary_length(flat).to_numpy().astype(np.int64)
+        at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        letters = np.concatenate([[0], np.cumsum(size)])[at]
+        full = size > 0
+        if not full.all():  # blanks at the ends of a text
+            h, at = h[full], np.concatenate([[0], np.cumsum(full)])[at]
+        least = minimizers(h) if fingerprints else none
+        raws = part.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        for raw, a, b, word_bytes in zip(raws, at.tolist(), at[1:].tolist(), np.diff(letters).tolist()):
+            yield Text(raw, h[a:b], least[a : b - SIZE + 1] if b - a >= SIZE else none, b > a and word_bytes + b - a - 1 == len(raw))
+
+
+def distinct(fps: np.ndarray) -> np.ndarray:
+    """The distinct ones of a text's fingerprints, most of which repeat the one before."""
+    return np.unique(fps[np.flatnonzero(np.concatenate([[True], fps[1:] != fps[:-1]]))]) if len(fps) else fps
+
+
 def covered(starts: np.ndarray, n: int, size: int = SIZE) -> np.ndarray:
     """Which of ``n`` words some window that begins in ``starts`` covers."""
     edge = np.zeros(n + 1, np.int64)
@@ -114,10 +162,9 @@ def make_run(texts: DataFrame, buckets: int) -> DataFrame:
     def entries(batches):
         for b in gathered(batches, BATCH):
             fps, owner = [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = words_of(text)
-                if len(words) >= SIZE:
-                    own = np.unique(minimizers(word_hashes(words)))
+            for doc, text in zip(b.column(0).to_pylist(), read_texts(b.column(1))):
+                if len(text.least):
+                    own = distinct(text.least)
                     fps.append(own)
                     owner.append(np.full(len(own), doc, np.int64))
             if fps:
@@ -128,7 +175,7 @@ def make_run(texts: DataFrame, buckets: int) -> DataFrame:
 
 def _pieces(fps: np.ndarray, docs: np.ndarray, buckets: int, most: int = 1 << 18):
     """Record batches of sorted pieces of at most ``most`` entries."""
-    order = np.argsort(fps, kind="stable")
+    order = np.argsort(fps)
     fps, docs = fps[order], docs[order]
     for bucket, part in _by_bucket(fps, buckets):
         for i in range(part.start, part.stop, most):
@@ -282,15 +329,15 @@ class _Rows:
         for c, column_ in self.columns.items():
             column_.append(kind if c == "kind" else values.get(c))
 
-    def result(self, row: int | None, doc: int | None, words: list[bytes], gone: np.ndarray | None = None) -> None:
+    def result(self, row: int | None, doc: int | None, read: Text, gone: np.ndarray | None = None) -> None:
         """n, removed and the kept words (or their digest) of a document."""
-        kept = words if gone is None else [w for w, g in zip(words, gone.tolist()) if not g]
-        joined = b" ".join(kept)
+        removed = 0 if gone is None else int(gone.sum())
+        joined = b" ".join([w for w, g in zip(read.words(), gone.tolist()) if not g]) if removed else read.joined()
         text = joined.decode("utf-8", "surrogatepass") if self.want_text else hashlib.sha256(joined).hexdigest()
-        self.add(2, row=row, id=doc, n=len(words), removed=len(words) - len(kept), kept=text)
+        self.add(2, row=row, id=doc, n=len(read.h), removed=removed, kept=text)
 
     def index(self, doc: int, fps: np.ndarray) -> None:
-        own = np.unique(fps)
+        own = distinct(fps)
         self.fps.append(own)
         self.owners.append(np.full(len(own), doc, np.int64))
 
@@ -329,23 +376,19 @@ def _compare(rows: DataFrame, buckets: int, want_text: bool) -> DataFrame:
         at, hint = None, []
         for b in gathered(batches, BATCH):
             out, h1s, h2s, owners, places, texts = _Rows(buckets, want_text), [], [], [], [], []
-            for id_, blob, row, text, own, side in zip(*(b.column(c).to_pylist() for c in ("id", "blob", "row", "text", "own", "side"))):
+            for id_, blob, row, own, side, read in zip(*(b.column(c).to_pylist() for c in ("id", "blob", "row", "own", "side")), read_texts(b.column("text"))):
                 if id_ != at:
                     at, hint = id_, []
                 if side == 0:
                     hint.append(np.frombuffer(blob, np.uint64))
                     continue
-                words = words_of(text)
-                cand = np.empty(0, np.int64)
-                if len(words) >= SIZE:
-                    h = word_hashes(words)
-                    least = minimizers(h)
-                    if hint:
-                        cand = np.flatnonzero(np.isin(least, np.concatenate(hint)))
+                h, least, cand = read.h, read.least, np.empty(0, np.int64)
+                if len(least) and hint:
+                    cand = np.flatnonzero(np.isin(least, np.concatenate(hint)))
                 if not len(cand):
                     if own:
-                        out.result(row, id_, words)
-                        if len(words) >= SIZE:
+                        out.result(row, id_, read)
+                        if len(least):
                             out.index(id_, least)
                     continue
                 if own and len(cand) < len(least):
@@ -354,7 +397,7 @@ def _compare(rows: DataFrame, buckets: int, want_text: bool) -> DataFrame:
                 h2s.append((window_hashes(h, SIZE, P2)[cand] >> np.uint64(32)).astype(np.uint32))
                 owners.append(np.full(len(cand), id_, np.int64))
                 places.append(cand)
-                texts.append((row, id_, text, own))
+                texts.append((row, id_, read.raw if own else None, own))
             if texts:
                 h1, h2, owner = np.concatenate(h1s), np.concatenate(h2s), np.concatenate(owners)
                 order = np.argsort(h1, kind="stable")
@@ -365,7 +408,7 @@ def _compare(rows: DataFrame, buckets: int, want_text: bool) -> DataFrame:
                 ends = np.cumsum([len(p) for p in places])
                 for (row, id_, text, own), place, lost in zip(texts, places, np.split(beaten, ends[:-1])):
                     if own:
-                        out.add(1, row=row, id=id_, text=text, done=place[lost].astype(np.uint32).tobytes())
+                        out.add(1, row=row, id=id_, text=text.decode("utf-8", "surrogatepass"), done=place[lost].astype(np.uint32).tobytes())
                 go = order[~beaten[order]]
                 h1, h2, owner = h1[go], h2[go], owner[go]
                 fresh = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (owner[1:] != owner[:-1])]) if len(h1) else np.empty(0, bool)
@@ -384,18 +427,18 @@ def _finish(rows: DataFrame, buckets: int, want_text: bool) -> DataFrame:
         at, hint = None, []
         for b in gathered(batches, BATCH):
             out = _Rows(buckets, want_text)
-            for id_, blob, row, text, done, side in zip(*(b.column(c).to_pylist() for c in ("id", "blob", "row", "text", "done", "side"))):
+            for id_, blob, row, done, side, read in zip(*(b.column(c).to_pylist() for c in ("id", "blob", "row", "done", "side")), read_texts(b.column("text"), False)):
                 if id_ != at:
                     at, hint = id_, []
                 if side == 0:
                     hint.append(np.frombuffer(blob, np.uint64))
                     continue
-                words = words_of(text)
-                fresh = np.ones(len(words) - SIZE + 1, bool)
+                n = len(read.h)
+                fresh = np.ones(n - SIZE + 1, bool)
                 fresh[np.frombuffer(done, np.uint32)] = False
                 if hint:
-                    fresh &= ~np.isin(window_hashes(word_hashes(words), SIZE, P1), np.concatenate(hint))
-                out.result(row, id_, words, covered(np.flatnonzero(~fresh), len(words)) if not fresh.all() else None)
+                    fresh &= ~np.isin(window_hashes(read.h, SIZE, P1), np.concatenate(hint))
+                out.result(row, id_, read, covered(np.flatnonzero(~fresh), n) if not fresh.all() else None)
             yield from out.batches()
 
     return rows.mapInArrow(run, STAGE)
@@ -407,12 +450,10 @@ def _settle(texts: DataFrame, buckets: int, want_text: bool, copies: bool = Fals
     def run(batches):
         for b in gathered(batches, BATCH):
             out = _Rows(buckets, want_text)
-            for row, id_, text in zip(*(b.column(c).to_pylist() for c in ("row", "id", "text"))):
-                words = words_of(text)
-                long = len(words) >= SIZE
-                out.result(row, id_, words, np.ones(len(words), bool) if copies and long else None)
-                if index and long and not copies:
-                    out.index(id_, minimizers(word_hashes(words)))
+            for row, id_, read in zip(*(b.column(c).to_pylist() for c in ("row", "id")), read_texts(b.column("text"), index and not copies)):
+                out.result(row, id_, read, np.ones(len(read.h), bool) if copies and len(read.h) >= SIZE else None)
+                if len(read.least):
+                    out.index(id_, read.least)
             yield from out.batches()
 
     return texts.select("row", "id", "text").mapInArrow(run, STAGE)

@@ -1,9 +1,14 @@
+import gc
 import hashlib
+import random
+import sys
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from keyfacet.llm import substring
+from keyfacet.llm import common, substring
 
 
 def brute(rows, size=13):
@@ -62,3 +67,38 @@ def test_removed_text_is_real(spark):
     docs = spark.createDataFrame([(1, text), (2, "left " + text + " right")], "doc_id long, text string")
     kept = {r["id"]: r["kept"] for r in substring.dedup_table(docs, want_text=True).collect()}
     assert kept == {1: text, 2: "left right"}
+
+
+@pytest.mark.parametrize("most", [1, 60, 1 << 21])
+def test_texts_in_parts_equal_single_texts(monkeypatch, most):
+    monkeypatch.setattr(substring, "PART", most)
+    rng = random.Random(most)
+    texts = ["".join(rng.choice("abé\x85\x00\x1c \t\n\x0b\x0c\r ") for _ in range(rng.choice([0, 1, 30, 150]))) for _ in range(200)]
+    texts = [None, "", " ", *texts, "a b " * 30, " a  b ", None]
+    column = pa.array(["left out", *texts]).slice(1)
+    for text, read in zip(texts, substring.read_texts(column), strict=True):
+        words = common.words_of(text)
+        h = common.word_hashes(words)
+        assert read.words() == words and read.joined() == b" ".join(words) and np.array_equal(read.h, h)
+        assert np.array_equal(read.least, substring.minimizers(h))
+        assert np.array_equal(substring.distinct(read.least), np.unique(read.least))
+    assert list(substring.read_texts(pa.array([], pa.string()))) == []
+
+
+def test_a_word_is_hashed_once_a_part(monkeypatch):
+    hashed = []
+    monkeypatch.setattr(substring, "word_hashes", lambda words: hashed.extend(words) or common.word_hashes(words))
+    list(substring.read_texts(pa.array(["a b a", "b c\ta"])))
+    assert sorted(hashed) == [b"a", b"b", b"c"]
+
+
+def test_memory_is_given_back_without_a_walk_over_all_modules(monkeypatch):
+    monkeypatch.setitem(sys.__dict__, "_keyfacet_frozen", False)
+    try:
+        common.release_memory()
+        assert gc.get_freeze_count() > 10_000 > len(gc.get_objects())
+        frozen = gc.get_freeze_count()
+        common.release_memory()
+        assert gc.get_freeze_count() <= frozen
+    finally:
+        gc.unfreeze()
