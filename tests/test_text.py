@@ -147,3 +147,15 @@ def test_registered_names(spark):
 )
 def test_stemmers_of_further_languages(lang, words):
     assert {w: stem.stem(w, lang) for w in words} == words
+
+
+def test_detection_reads_a_text_once(spark):
+    from keyfacet.functions import lang as lg
+
+    texts = ["　 \x1c the cat and the dog  ", "der die das", "これはペンです the", "漢字", "   ", None, "qq zz", "x" * 1999 + " der", " " * 3000 + "le la les des"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = df.select("i", lg.detect(F.col("text")).alias("l"), lg.detect(F.col("text"), asked=F.lit("FR")).alias("a"), lg.needs_model(F.col("text")).alias("n"))
+    assert [r["l"] for r in sorted(got.collect())] == ["en", "de", "ja", "zh", "en", "en", "en", "en", "fr"]
+    assert [r["a"] for r in sorted(got.collect())][4:8] == ["fr"] * 4 and [r["n"] for r in sorted(got.collect())][4:8] == [True] * 4
+    plan = df.select(lg.detect(F.col("text")).alias("l"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
