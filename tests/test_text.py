@@ -158,4 +158,4 @@ def test_detection_reads_a_text_once(spark):
     assert [r["l"] for r in sorted(got.collect())] == ["en", "de", "ja", "zh", "en", "en", "en", "en", "fr"]
     assert [r["a"] for r in sorted(got.collect())][4:8] == ["fr"] * 4 and [r["n"] for r in sorted(got.collect())][4:8] == [True] * 4
     plan = df.select(lg.detect(F.col("text")).alias("l"))._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("regexp_extract_all(") == 1
+    assert plan.count(r"[\p{L}]+") == 1
